@@ -17,8 +17,6 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from evenkeel.functions.text import token_count
-
 BLEU_ORDER = 4
 BLEU_EPSILON = 0.1  # fixed value: added to an empty n-gram match count
 
@@ -116,8 +114,7 @@ def _f_measure(common: Column, n_pred: Column, n_gold: Column) -> Column:
     return 2 * precision * recall / (precision + recall)
 
 
-def token_f1(unigram_matches: Column, pred: Column, gold: Column) -> Column:
-    n_pred, n_gold = token_count(pred), token_count(gold)
+def token_f1(unigram_matches: Column, n_pred: Column, n_gold: Column) -> Column:
     return (
         F.when(unigram_matches.isNull(), None)
         .when((n_pred == 0) & (n_gold == 0), 1.0)
@@ -126,15 +123,12 @@ def token_f1(unigram_matches: Column, pred: Column, gold: Column) -> Column:
     )
 
 
-def rouge_l(lcs: Column, pred: Column, gold: Column) -> Column:
-    return F.when(lcs.isNull(), None).when(lcs == 0, 0.0).otherwise(
-        _f_measure(lcs, token_count(pred), token_count(gold))
-    )
+def rouge_l(lcs: Column, n_pred: Column, n_gold: Column) -> Column:
+    return F.when(lcs.isNull(), None).when(lcs == 0, 0.0).otherwise(_f_measure(lcs, n_pred, n_gold))
 
 
-def bleu(matches: Column, pred: Column, gold: Column) -> Column:
+def bleu(matches: Column, n_pred: Column, n_gold: Column) -> Column:
     """Sentence BLEU-4, uniform weights, smoothing method 1 (Papineni 2002; Chen & Cherry 2014)."""
-    n_pred, n_gold = token_count(pred), token_count(gold)
     log_precision = F.lit(0.0)
     for n in range(1, BLEU_ORDER + 1):
         hits = F.get(matches, n - 1).cast("double")

@@ -40,7 +40,7 @@ def pairwise_model_similarity(
     )
     everyone = F.array(F.struct(F.lit(False).alias("equal"), F.col("cell.model").alias("models")))
     sets = (
-        cells.select(F.explode(F.concat(everyone, agreeing)).alias("s"))
+        cells.select(F.explode_outer(F.concat(everyone, agreeing)).alias("s"))
         .filter(~F.col("s.equal") | (F.size("s.models") > 1))
         .groupBy("s.equal", "s.models")
         .agg(F.count(F.lit(1)).alias("cells"))
@@ -62,10 +62,18 @@ def pairwise_model_similarity(
         )
         .withColumn("rate", F.try_divide(F.col("same").cast("double"), F.col("both")))
     )
-    both_ways = counted.select("a", "b", "rate").unionByName(
-        counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "rate")
+    both_ways = counted.select(
+        F.explode(
+            F.array(
+                F.struct("a", "b", "rate"),
+                F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "rate"),
+            )
+        ).alias("p")
+    ).select("p.*")
+    # the model list comes from the counted sets, so the answers are read once
+    models = sets.select(F.explode("models").alias("model")).groupBy().agg(
+        F.sort_array(F.collect_set("model")).alias("models")
     )
-    models = rows.groupBy().agg(F.sort_array(F.collect_set("model")).alias("models"))
     every_pair = models.select(F.explode("models").alias("a"), "models").select(
         "a", F.explode("models").alias("b")
     )

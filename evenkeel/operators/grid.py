@@ -53,10 +53,17 @@ def request_grid(
     base_seed: int | None = None,
     deterministic: bool = True,
     shared_instruction: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """models × questions × runs, one row per request, expanded in place on every question row."""
+    """models × questions × runs, one row per request, expanded in place on every question row.
+
+    A question becomes models × runs rows, so the questions are first spread over ``tasks`` partitions (the
+    shuffle partitions by default): moving one question is cheaper than letting one input split grow
+    a thousandfold in its task. Later groupings by question find the grid already partitioned for them.
+    """
     if runs_per_prompt < 1:
         raise ValueError("runs_per_prompt must be at least 1")
+    tasks = tasks or int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plan = F.array(
         *[
             F.struct(
@@ -72,7 +79,7 @@ def request_grid(
         seed = F.lit(base_seed).cast("bigint") + F.col("run_index")
     category = F.col("category") if "category" in questions.columns else F.lit("")
     return (
-        questions.select(
+        questions.repartition(tasks, "id").select(
             F.col("id").alias("question_id"), "question", "gold_answer", category.alias("category"),
             F.explode(plan).alias("m"),
         )

@@ -73,16 +73,19 @@ def score_lexical(
         counts["_lcs"] = pairs.lcs_length(pred, gold)
     if "string_similarity" in metrics:
         counts["_chars"] = pairs.matched_chars(pred, gold)
+    if {"token_f1", "bleu", "rouge_l"} & set(metrics):
+        counts |= {"_n_pred": text.token_count(pred), "_n_gold": text.token_count(gold)}
     if counts:
         out = out.withColumns(counts)
+    sizes = F.col("_n_pred"), F.col("_n_gold")
     raw = [text.with_policy(F.col(c), missing_text) for c in ("response_text", "gold_answer")]
     formulas = {
         "exact_match": lambda: text.same(*raw),
         "normalized_exact_match": lambda: text.same(pred, gold),
-        "token_f1": lambda: pairs.token_f1(F.get("_grams", 0), pred, gold),
+        "token_f1": lambda: pairs.token_f1(F.get("_grams", 0), *sizes),
         "string_similarity": lambda: pairs.string_similarity(F.col("_chars"), pred, gold),
-        "bleu": lambda: pairs.bleu(F.col("_grams"), pred, gold),
-        "rouge_l": lambda: pairs.rouge_l(F.col("_lcs"), pred, gold),
+        "bleu": lambda: pairs.bleu(F.col("_grams"), *sizes),
+        "rouge_l": lambda: pairs.rouge_l(F.col("_lcs"), *sizes),
     }
     return out.withColumns({m: formulas[m]() for m in metrics}).drop(*counts)
 

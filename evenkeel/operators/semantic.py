@@ -90,10 +90,13 @@ def _grouped_runs(df: DataFrame, max_pairs: int, seed: int, missing_text: str |
 def run_pairs(
     df: DataFrame, max_pairs: int = MAX_PAIRS, seed: int = 42, missing_text: str | None = None
 ) -> DataFrame:
-    """Run pairs of each (model, question): all of them, or a seeded sample of ``max_pairs``."""
+    """Run pairs of each (model, question): all of them, or a seeded sample of ``max_pairs``.
+
+    The outer explode keeps Spark from evaluating the pair list a second time in an inferred size filter.
+    """
     pair = _grouped_runs(df, max_pairs, seed, missing_text).select(
-        *GROUP, "runs", F.explode("pairs").alias("p")
-    )
+        *GROUP, "runs", F.explode_outer("pairs").alias("p")
+    ).filter(F.col("p").isNotNull())
     left, right = F.get("runs", F.col("p.i")), F.get("runs", F.col("p.j"))
     return pair.select(
         *GROUP,

@@ -45,7 +45,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.options(**CSV_TEXT, multiLine=True, emptyValue="")
+    # a bare empty field is missing, a quoted one is empty text: told apart by a null mark no field can hold
+    reader = spark.read.options(**CSV_TEXT, multiLine=True, emptyValue="", nullValue="\u0000")
     if schema is None:
         return reader.csv(path)
     titles = reader.csv(path).columns
