@@ -46,8 +46,8 @@ def exact_quantiles(
 
     Returns ``keys, metric, quantile, value``. A mergeable sketch gives a bracket that must hold the wanted
     ranks; a second pass counts what lies below it and keeps, pre-aggregated by value, only what lies inside
-    (about 0.04% of a group), so no task ever sees a whole group. A bracket that missed would raise, not
-    answer wrongly.
+    (about 0.04% of a group), so no task ever sees a whole large group. A group so small that the bracket would
+    be narrower than two ranks is ranked as it is. A bracket that missed would raise, not answer wrongly.
     """
     long = df.select(
         *keys,
@@ -60,6 +60,7 @@ def exact_quantiles(
     sketch = long.groupBy(*wanted).agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("value", asked, SKETCH_ACCURACY).alias("bounds")
     )
+    exhaustive = F.col("n") * SKETCH_MARGIN < 2
     brackets = pin_small(
         sketch.select(
             *wanted,
@@ -69,8 +70,12 @@ def exact_quantiles(
                     *[
                         F.struct(
                             F.lit(float(p)).alias("quantile"),
-                            F.get("bounds", 2 * i).alias("low"),
-                            F.get("bounds", 2 * i + 1).alias("high"),
+                            F.when(exhaustive | F.lit(p <= SKETCH_MARGIN), float("-inf"))
+                            .otherwise(F.get("bounds", 2 * i))
+                            .alias("low"),
+                            F.when(exhaustive | F.lit(p >= 1 - SKETCH_MARGIN), float("inf"))
+                            .otherwise(F.get("bounds", 2 * i + 1))
+                            .alias("high"),
                         )
                         for i, p in enumerate(probs)
                     ]

@@ -40,8 +40,9 @@ def committed(spark: SparkSession, path: str) -> bool:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV that keeps empty text apart from missing text and survives quotes and line breaks."""
-    df.write.mode(mode).options(**CSV_TEXT, emptyValue='""').csv(path)
+    """CSV that keeps empty text apart from missing text, outer white space, quotes and line breaks."""
+    as_is = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**CSV_TEXT, **as_is, emptyValue='""').csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
