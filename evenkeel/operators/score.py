@@ -30,7 +30,10 @@ def present(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def with_performance(df: DataFrame) -> DataFrame:
-    tokens, ns = number(F.col("eval_count")), number(F.col("total_duration"))
+    """Tokens, latency and throughput; a missing source column gives nulls."""
+    tokens, ns = (
+        number(F.col(c) if c in df.columns else F.lit(None)) for c in ("eval_count", "total_duration")
+    )
     return df.withColumns(
         {
             "output_tokens": tokens,

@@ -64,14 +64,12 @@ def read_gold_markdown(spark, sf_dir):
         F.replace(c, F.lit("\n"), F.lit(" "))
         for c in (F.col("id"), F.col("question"), F.col("gold_answer"), F.col("category"))
     ]
-    body = derived.questions(spark, sf_dir).select(
-        F.lit(1).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")
-    )
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    body = derived.questions(spark, sf_dir).select("id", line.alias("value"))
     head = spark.createDataFrame(
-        [(0, "| id | question | gold_answer | category |\n| --- | --- | --- | --- |")], "place int, value string"
+        [("", "| id | question | gold_answer | category |\n| --- | --- | --- | --- |")], "id string, value string"
     )
-    # a pipe table is one document: the test file has to be a single file
-    head.unionByName(body).orderBy("place").select("value").coalesce(1).write.text(path)
+    head.unionByName(body).orderBy("id").select("value").write.text(path)
     return questions.read_gold_markdown(spark, path)
 
 

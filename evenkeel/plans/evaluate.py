@@ -86,6 +86,7 @@ def report_tables(
         "part_3_least_reproducible": report.least_reproducible(aggregates),
         "part_4_global_uniqueness": report.global_uniqueness(scored),
         "part_5_similarity": pairs,
+        "part_5_similarity_matrix": compare.similarity_matrix(pairs),
         "part_6_performance": report.performance_by_model(scored),
         "figure_ci_bars": report.ci_bars(summary, columns),
     }

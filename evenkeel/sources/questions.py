@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evenkeel.functions.hashing import seeded_hash
 from evenkeel.functions.text import strip, with_policy
-from evenkeel.operators.groups import first_k_by_hash
+from evenkeel.operators.groups import first_k_by_hash, pin_small
 
 # Accepted column titles, best first, compared in lower case.
 QUESTION_TITLES = ("question", "questions", "consumer question")
@@ -30,7 +30,7 @@ def with_ordinal(files: DataFrame, name: str = "ordinal") -> DataFrame:
 
     Each file block is read by one task in order, so a row's place is its offset in the block plus the rows of
     the blocks before. Only the block table (one row per block) is ordered in one task; rows are never
-    gathered or sorted.
+    gathered or sorted, and up to 10,000 blocks they are not shuffled either.
     """
     block = ["_path", "_start"]
     placed = files.select(
@@ -42,7 +42,7 @@ def with_ordinal(files: DataFrame, name: str = "ordinal") -> DataFrame:
     blocks = placed.groupBy(*block).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    joined = placed.join(offsets, block)
+    joined = placed.join(pin_small(offsets), block)
     return joined.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop(
         *block, "_at", "_first", "_rows", "_before"
     )
@@ -68,13 +68,18 @@ def read_gold_csv(
 def read_gold_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Questions from a pipe table: first pipe line is the header, the second is skipped.
 
+    ``path`` may also be a directory of part files, of which the first one starts with the header.
     Malformed rows, missing columns and duplicate ids are errors; each check is one counting job.
     """
-    lines = spark.read.text(path).select(
-        strip(F.col("value")).alias("line"), F.monotonically_increasing_id().alias("at")
+    files = spark.read.text(path)
+    lines = files.select(
+        strip(F.col("value")).alias("line"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
     )
     table = lines.filter(F.col("line").startswith("|") & F.col("line").endswith("|"))
-    head = table.orderBy("at").limit(2).collect()
+    head = table.orderBy("path", "start", "at").limit(2).collect()
     if len(head) < 2:
         raise ValueError("no pipe table found: a header and a separator line are required")
     titles = [t.strip() for t in head[0]["line"].strip("|").split("|")]
@@ -82,7 +87,8 @@ def read_gold_markdown(spark: SparkSession, path: str) -> DataFrame:
     if absent:
         raise ValueError(f"pipe table lacks required columns {absent}")
     cells = F.split(F.regexp_replace("line", r"\A\|+|\|+\z", ""), r"\|", -1)
-    rows = table.filter(F.col("at") > head[1]["at"]).withColumn("cells", F.transform(cells, strip))
+    body = table.filter(~F.col("at").isin([r["at"] for r in head]))
+    rows = body.withColumn("cells", F.transform(cells, strip))
     bad = rows.filter(F.size("cells") != len(titles)).select("line").limit(20).collect()
     if bad:
         raise ValueError(f"malformed rows: {[r['line'] for r in bad]}")

@@ -59,6 +59,13 @@ def test_markdown(spark, tmp_path):
         questions.read_gold_markdown(spark, write(tmp_path / "d.md", "nothing\n"))
 
 
+def test_markdown_in_part_files(spark, tmp_path):
+    write(tmp_path / "d" / "part-0.md", "| id | question | gold_answer |\n|--|--|--|\n| q1 | a | b |\n")
+    write(tmp_path / "d" / "part-1.md", "".join(f"| x{i} | some longer question | b |\n" for i in range(200)))
+    rows = questions.read_gold_markdown(spark, str(tmp_path / "d")).collect()
+    assert len(rows) == 201 and {r.gold_answer for r in rows} == {"b"}
+
+
 def test_qa_source(spark, tmp_path):
     path = write(
         tmp_path / "m.csv",
