@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evenkeel.functions.hashing import fingerprint
+from evenkeel.functions.text import with_policy
 from evenkeel.operators.score import with_normalized
 
 CELL = ("question_id", "run_index")
@@ -21,10 +22,10 @@ def pairwise_model_similarity(
     models it has and the sets of models that agree; equal sets are counted before any pair is formed, so the
     number of pairs depends on how many different sets exist, not on the number of answers.
     """
-    rows = (
-        with_normalized(df, missing_text)
-        .select("model", *CELL, *order_by, fingerprint(F.col("normalized_response")).alias("print"))
-        .dropna(subset=["model", *CELL, "print"])
+    given = "normalized_response" in df.columns
+    text = F.col("normalized_response") if given else with_policy(F.col("response_text"), missing_text)
+    rows = with_normalized(df.dropna(subset=["model", *CELL]).filter(text.isNotNull()), missing_text).select(
+        "model", *CELL, *order_by, fingerprint(F.col("normalized_response")).alias("print")
     )
     first = Window.partitionBy(*CELL, "model").orderBy(*order_by, "print")
     answers = rows.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") == 1)
@@ -70,9 +71,12 @@ def pairwise_model_similarity(
             )
         ).alias("p")
     ).select("p.*")
-    # the model list comes from the counted sets, so the answers are read once
-    models = sets.select(F.explode("models").alias("model")).groupBy().agg(
-        F.sort_array(F.collect_set("model")).alias("models")
+    # the model list is read off the same counted sets, kept identical so that Spark reuses their exchange
+    models = (
+        sets.select(F.explode_outer("models").alias("model"), "cells")
+        .groupBy()
+        .agg(F.sort_array(F.collect_set("model")).alias("models"), F.sum("cells").alias("cells"))
+        .filter(F.col("cells") > 0)
     )
     every_pair = models.select(F.explode("models").alias("a"), "models").select(
         "a", F.explode("models").alias("b")
