@@ -156,7 +156,6 @@ def group_ratio(df: DataFrame, missing_text: str | None = None) -> DataFrame:
 
     Aggregated first and joined back; a window would gather each group, and its set, in one task.
     """
-    rows = with_normalized(df, missing_text)
     kind = F.col("kind")
     ratios = (
         _text_counts(df, missing_text)
@@ -172,4 +171,4 @@ def group_ratio(df: DataFrame, missing_text: str | None = None) -> DataFrame:
         )
         .dropna(subset=list(GROUP))
     )
-    return rows.join(ratios, list(GROUP), "left")
+    return df.join(ratios, list(GROUP), "left")
