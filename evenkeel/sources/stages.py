@@ -28,8 +28,17 @@ CSV_TEXT = {"quote": '"', "escape": '"', "header": True}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new directory under the cluster's shared ``spark.checkpoint.dir``; a temporary one if unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new directory under the cluster's shared ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local master only: the executors of a cluster would each
+    write to a disk of their own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
     return os.path.join(root, f"run-{os.urandom(6).hex()}")
 
 
