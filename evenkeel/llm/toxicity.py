@@ -4,7 +4,8 @@ Training: words are counted once a document in toxic and other labelled texts; l
 Dirichlet prior (the corpus counts) give each word and each word beginning a z-score, and those above a threshold
 score by their log-odds. All other words cost a little. Scoring: a linear scan finds every maximal segment of
 positive total; lambda and K of the extreme-value law turn a segment's total into an expected count by chance in a
-text of that length; a logistic curve over the best segment's bits, fitted on the labelled rows, is the score.
+text of that length. The bits of all segments that chance does not explain are added up; a logistic curve over
+that sum, fitted on the labelled rows, is the score.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ class Model:
     k: float
     slope: float
     intercept: float
+    floor: float = 0.0  # share of toxic ones among labelled texts without any scoring word
 
     def word(self, word: str) -> float:
         best = self.weights.get(f"={word}", 0.0)
@@ -49,11 +51,18 @@ class Model:
 
     def bits(self, total: float, words: int) -> float:
         """log of 1 / (expected count of such totals by chance among ``words`` words)."""
-        return self.lam * total - math.log(self.k * max(1, words)) if total > 0 else NO_PASSAGE
+        return max(NO_PASSAGE + 0.1, self.lam * total - math.log(self.k * max(1, words)))
+
+    def evidence(self, totals: list[float], words: int) -> float:
+        """Sum of the bits of segments beyond chance, else the bits of the best one."""
+        bits = [self.bits(s, words) for s in totals]
+        return sum(b for b in bits if b > 0) or max(bits, default=NO_PASSAGE)
 
     def score(self, bits: float) -> float:
-        z = self.slope * max(NO_PASSAGE, min(60.0, bits)) + self.intercept
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+        if bits <= NO_PASSAGE:
+            return self.floor
+        z = self.slope * min(60.0, bits) + self.intercept
+        return max(self.floor, 1 / (1 + math.exp(-z)) if z > -700 else 0.0)
 
 
 def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -139,20 +148,30 @@ def solve_lambda(histogram: list[tuple[float, float]]) -> float:
 
 
 def logistic(bins: list[tuple[float, int, float]], fixed: float = 0.5) -> tuple[float, float]:
-    """(slope, intercept) by Newton steps on (bits, label, count), with a weak pull to slope ``fixed``."""
+    """(slope, intercept) of labels over bits, by Newton steps that are halved until the likelihood grows.
+
+    ``bins``: (bits, label, count). A weak pull to slope ``fixed`` keeps separable samples finite.
+    """
     x, y, n = (np.array(c, float) for c in zip(*bins, strict=True))
     rate = min(1 - 1e-6, max(1e-6, float((y * n).sum() / n.sum())))
     if rate in (1e-6, 1 - 1e-6):
         return 0.0, math.log(rate / (1 - rate))
-    b = np.array([fixed, math.log(rate / (1 - rate))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(b[0] * x + b[1], -30, 30)))
+
+    def gain(b: np.ndarray) -> float:
+        z = b[0] * x + b[1]
+        return float((n * (y * z - np.logaddexp(0, z))).sum()) - (b[0] - fixed) ** 2 / 2
+
+    b = np.array([0.0, math.log(rate / (1 - rate))])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(b[0] * x + b[1], -500, 500)))
         g = np.array([((y - p) * n * x).sum() - (b[0] - fixed), ((y - p) * n).sum()])
-        w = n * p * (1 - p) + 1e-9
-        h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum()]])
-        step = np.linalg.solve(h, g)
-        b += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        w = n * p * (1 - p)
+        h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-9]])
+        step, before = np.linalg.solve(h, g), gain(b)
+        while gain(b + step) < before and np.abs(step).max() > 1e-9:
+            step = step / 2
+        b = b + step
+        if np.abs(step).max() < 1e-7:
             break
     return max(0.0, float(b[0])), float(b[1])
 
@@ -209,15 +228,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def best(batch: pa.RecordBatch) -> dict:
         cache: dict[str, float] = {}
         found = [passages(t, draft, cache) for t in texts(batch, "text")]
-        return {"toxic": batch.column("toxic"), "words": [n for n, _ in found], "total": [max((s[2] for s in x), default=0.0) for _, x in found]}
+        totals = [[s[2] for s in x] for _, x in found]
+        return {"toxic": batch.column("toxic"), "words": [n for n, _ in found], "totals": totals}
 
-    tops = stored(arrow_map(rows, best, "toxic int, words long, total double"))
+    tops = stored(arrow_map(rows, best, "toxic int, words long, totals array<double>"))
+    tops = tops.withColumn("total", F.coalesce(F.array_max("totals"), F.lit(0.0)))
     mean = tops.filter("toxic = 0").agg(F.avg(F.col("words") * F.exp(-lam * F.col("total")))).first()[0]
     k = min(10.0, max(1e-6, 1 / mean)) if mean else 0.1  # u = K n exp(-lambda S) is exponential with mean 1
-    bits = F.when(F.col("total") > 0, lam * F.col("total") - F.log(k * F.greatest("words", F.lit(1)))).otherwise(NO_PASSAGE)
-    bins = tops.groupBy("toxic", F.round(F.least(F.greatest(bits, F.lit(NO_PASSAGE)), F.lit(60.0)), 1).alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()
-    slope, intercept = logistic([(r["bits"], r["toxic"], r["n"]) for r in bins]) if bins else (0.0, -50.0)
-    return Model(weights, lam, k, slope, intercept)
+    each = F.transform("totals", lambda s: F.greatest(lam * s - F.log(k * F.greatest("words", F.lit(1))), F.lit(NO_PASSAGE + 0.1)))
+    beyond = F.aggregate(each, F.lit(0.0), lambda a, b: a + F.greatest(b, F.lit(0.0)))
+    bits = F.when(beyond > 0, beyond).otherwise(F.coalesce(F.array_max(each), F.lit(NO_PASSAGE)))
+    bits = F.round(F.least(bits, F.lit(60.0)), 1).alias("bits")
+    counted = tops.groupBy("toxic", bits).agg(F.count(F.lit(1)).alias("n")).collect()
+    bins = [(r["bits"], r["toxic"], r["n"]) for r in counted]
+    without = [(y, n) for b, y, n in bins if b <= NO_PASSAGE]
+    bins = [x for x in bins if x[0] > NO_PASSAGE]
+    floor = sum(y * n for y, n in without) / max(1, sum(n for _, n in without))
+    slope, intercept = logistic(bins) if bins else (0.0, -50.0)
+    return Model(weights, lam, k, slope, intercept, floor)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +262,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for text in texts(batch, "text"):
             words, found = passages(text, model, cache)
             bits = [(a, b, s, model.bits(s, words)) for a, b, s in found]
-            scores.append(model.score(max((x[3] for x in bits), default=NO_PASSAGE)))
+            scores.append(model.score(model.evidence([x[2] for x in found], words)))
             told = [x for x in bits if math.exp(-x[3]) <= SIGNIFICANT]
             if told:  # places of words in the text as it is; lower-casing can change lengths
                 places = [m.span() for m in WORD.finditer(text)]
@@ -266,8 +294,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             flags = []
             for text in texts(batch, "text"):
                 words, found = passages(text, model, cache)
-                bits = model.bits(max((s[2] for s in found), default=0.0), words)
-                flags.append(model.score(bits) < 0.7)
+                flags.append(model.score(model.evidence([s[2] for s in found], words)) < 0.7)
             yield batch.filter(pa.array(flags, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
