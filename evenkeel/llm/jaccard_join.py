@@ -1,7 +1,8 @@
 """N-gram Jaccard join with signature trees.
 
-1. Every document becomes its set of word shingles, a bitmap of it and its prefix: the smallest hashes, so many
-   that two sets of the wanted similarity share one of them. Equal sets become one node.
+1. Every document becomes its set of word shingles, a bitmap of it and its prefix: its first shingles in a fixed
+   order, so many that two sets of the wanted similarity share one of them. Equal sets become one node. The order is
+   by hash, with shingles last that are frequent in a sample; any order gives the same result, this one small blocks.
 2. Nodes that share a prefix shingle form a block; blocks with the same nodes are one. Within a block a signature
    tree holds OR-combined bitmaps and size ranges, and a traversal of the tree with itself drops pairs of tree
    nodes whose largest possible overlap is too small. What is left joins nodes to candidate sets.
@@ -24,18 +25,30 @@ from evenkeel.llm.common import (
 WORDS, PERCENT = 5, 80
 LEAF, FANOUT = 32, 8
 BLOCK_ROWS = 4096  # nodes of one block in a task's part
+ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 10_000, 4, 200_000  # documents; times seen; shingles put last
 SET_HASHES = 1_000_000  # hashes of candidate sets in a task's part
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Bit (hash mod m) set for every hash; m is a power of two, at least 64 and four times the count."""
-    bits = max(64, 1 << int(4 * max(1, len(hashes)) - 1).bit_length())
+    """Bit (hash mod m) set for every hash; m is a power of two, at least 64 and twice the count."""
+    bits = max(64, 1 << int(2 * max(1, len(hashes)) - 1).bit_length())
     filled = np.zeros(bits, bool)
     filled[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(filled, bitorder="little")
 
 
-def described(batch: pa.RecordBatch, words: int, percent: int, whole: bool) -> dict:
+def prefix(hashes: np.ndarray, percent: int, last: np.ndarray) -> np.ndarray:
+    """The first n - ceil(n * percent / 100) + 1 hashes, those in the sorted array ``last`` behind the others."""
+    count = len(hashes) - -(-percent * len(hashes) // 100) + 1
+    if len(last):
+        at = np.minimum(np.searchsorted(last, hashes), len(last) - 1)
+        frequent = last[at] == hashes
+        hashes = np.concatenate((hashes[~frequent][:count], hashes[frequent][:count]))
+    return hashes[:count].view(np.int64)
+
+
+def described(batch: pa.RecordBatch, words: int, percent: int, last: np.ndarray | None) -> dict:
+    """Set size, node, smallest hash, bitmap and prefix of every text; without ``last`` the whole set instead."""
     n, node, lead, sig, part = [], [], [], [], []
     for text in utf8(batch, "text"):
         hashes = shingle_set(text, words)
@@ -49,7 +62,7 @@ def described(batch: pa.RecordBatch, words: int, percent: int, whole: bool) -> d
         signed = hashes.view(np.int64)
         lead.append(int(signed[0]))
         sig.append(bitmap(hashes).tobytes())
-        part.append(signed if whole else signed[: count - -(-percent * count // 100) + 1])
+        part.append(signed if last is None else prefix(hashes, percent, last))
     kept = {c: batch.column(c) for c in batch.schema.names if c != "text"}
     return kept | {"n": n, "node": node, "lead": lead, "sig": sig, "hashes": part}
 
@@ -242,13 +255,27 @@ def exact_edges(members: DataFrame, split: bool, percent: int) -> DataFrame:
     return edges.union(more)
 
 
+def frequent_shingles(rows: DataFrame, words: int, percent: int) -> np.ndarray:
+    """Sorted hashes of shingles that several texts of a bounded sample hold."""
+    total = rows.count()
+    share = min(1.0, ORDER_SAMPLE / max(1, total))
+    some = rows.filter(F.pmod(F.xxhash64("mark", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    shape = "n long, node long, lead long, sig binary, hashes array<long>"
+    sets = arrow_map(some.select("text"), lambda b: described(b, words, percent, None), shape)
+    once = sets.filter("node is not null").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    seen = once.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    kept = seen.filter(F.col("times") >= ORDER_LEAST).orderBy(F.desc("times"), "key").limit(ORDER_MOST).collect()
+    return np.sort(np.array([r["key"] for r in kept], np.int64).view(np.uint64))
+
+
 def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(doc_id, mark, n, node, root) of every row: hash of its text, set size, its set and its set's component."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("rid", F.coalesce("doc_id", "mark"))
     kept = "rid long, mark long, "
     shape = "n long, node long, lead long, sig binary, hashes array<long>"
-    sets = stored(arrow_map(rows, lambda b: described(b, words, percent, False), f"doc_id long, {kept}{shape}"))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, words, percent))  # at most ORDER_MOST
+    sets = stored(arrow_map(rows, lambda b: described(b, words, percent, sent.value), f"doc_id long, {kept}{shape}"))
     full = sets.filter("node is not null")
 
     # blocks: nodes that share a prefix shingle
@@ -279,7 +306,7 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     picked = rows.select("rid", "mark", "text").join(narrow(wanted), ["rid", "mark"])
     members = arrow_map(
         picked.select("expected", "comp", "size", "chunks", "text"),
-        lambda b: described(b, words, percent, True),
+        lambda b: described(b, words, percent, None),
         f"expected long, comp long, size long, chunks int, {shape}",
     ).filter("node = expected")
     edges = exact_edges(members, not wanted.filter("chunks > 1").isEmpty(), percent)
