@@ -28,6 +28,7 @@ NAME_REACH = 160  # characters before the sign in which its name stands
 LITERAL = re.compile(r'''"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`''')
 BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>]++")
 REFERENCE = re.compile(r"\$\{?([A-Za-z_][\w.]*)\}?|([A-Za-z_][\w.]*)")
+BRACED = re.compile(r"\$\{([A-Za-z_][\w.]*)\}")
 JOIN = re.compile(r"[ \t]*\+[ \t]*|[ \t]*\\\n[ \t]*")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 # fixed values: how sensitive the words of a name are
@@ -77,8 +78,11 @@ def pairs(text: str) -> list[tuple[str, list[Piece], list[str]]]:
         while True:
             while at < len(text) and text[at] in " \t":
                 at += 1
-            quoted = LITERAL.match(text, at)
-            if quoted:
+            quoted, braced = LITERAL.match(text, at), BRACED.match(text, at)
+            if braced:
+                names.append(braced[1])
+                at = braced.end()
+            elif quoted:
                 part = next(i for i in (1, 2, 3) if quoted[i] is not None)
                 literals.append((*quoted.span(part), quoted[part]))
                 names += [a or b for a, b in REFERENCE.findall(quoted[part])] if "$" in quoted[part] else []
@@ -107,14 +111,16 @@ def found_literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitive name."""
     known: dict[str, list[Piece]] = {}
     best: dict[tuple[int, int], float] = {}
-    for name, literals, names in pairs(text):
-        carried = [p for n in names for p in known.get(n, ())]
+    listed = pairs(text)
+    later = {name: literals for name, literals, _ in listed}  # configuration may name what is set further down
+    for name, literals, names in listed:
+        carried = [p for n in names for p in known.get(n, later.get(n, ()))]
         weight = name_weight(name)
         for start, end, value in [*literals, *carried]:
             look = literal_weight(value) if weight >= 2 else 0.0
             if look:
                 best[start, end] = max(best.get((start, end), 0.0), weight + look)
-        known[name] = [*literals, *carried][:1000] if names else literals
+        known[name] = list(dict.fromkeys([*literals, *carried])) if names else literals
     return [(a, b, s) for (a, b), s in best.items() if s >= THRESHOLD]
 
 
