@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.hashing import fingerprint, number
 from evenkeel.functions.render import format_mean_ci
-from evenkeel.functions.text import with_policy
 from evenkeel.operators.groups import IN_MEMORY_ROWS, aggregate_with_quantiles, all_equal
 from evenkeel.operators.score import present, with_normalized
 
@@ -85,7 +84,7 @@ def global_uniqueness(df: DataFrame, missing_text: str | None = None, approximat
     ``approximate`` replaces the first level by sketches.
     """
     rows = with_normalized(df, missing_text)
-    raw, norm = with_policy(F.col("response_text"), missing_text), F.col("normalized_response")
+    raw, norm = F.col("response_text"), F.col("normalized_response")  # raw counts skip missing text under any policy
     if approximate:
         counts = rows.groupBy("model").agg(
             F.count(raw).alias("total_outputs"),

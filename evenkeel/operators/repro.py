@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.hashing import fingerprint, number
-from evenkeel.functions.text import with_policy
 from evenkeel.operators.groups import IN_MEMORY_ROWS, aggregate_with_quantiles
 from evenkeel.operators.score import METRICS, present, with_normalized, with_response_len
 
@@ -47,7 +46,7 @@ def _text_counts(df: DataFrame, missing_text: str | None) -> DataFrame:
     map-side, and only fingerprints travel.
     """
     rows = with_response_len(with_normalized(df, missing_text), missing_text)
-    raw, norm = with_policy(F.col("response_text"), missing_text), F.col("normalized_response")
+    raw, norm = F.col("response_text"), F.col("normalized_response")  # raw counts skip missing text under any policy
     return (
         rows.select(
             *GROUP,

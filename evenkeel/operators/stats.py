@@ -8,10 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.hashing import number, seeded_hash
-from evenkeel.operators.groups import all_equal, hot_groups
 from evenkeel.operators.score import present
 
-DRAW_ROWS = 100_000  # questions of one model that may be held as one array
 REPLICATES_PER_TASK = 50
 
 
@@ -31,7 +29,7 @@ def model_means(aggregates: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _replicates_by_draw(values: DataFrame, cols: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     """Mean of n draws with replacement per (model, replicate); draw i picks by md5 of its coordinates.
 
-    A model's sorted values travel as one bounded array per chunk of replicates, so models and chunks run
+    A model's sorted values travel as one array per chunk of replicates, so models and chunks run
     in parallel and only (model, replicate) partial sums are shuffled.
     """
     spark = values.sparkSession
@@ -60,61 +58,24 @@ def _replicates_by_draw(values: DataFrame, cols: Sequence[str], n_boot: int, see
     return drawn.groupBy("model", "replicate").agg(*[F.avg(picked(c)).alias(c) for c in cols])
 
 
-# Cumulative Poisson(1) probabilities; the next one rounds to 1 at 32 bits.
-POISSON_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
-
-
-def _replicates_by_weight(
-    values: DataFrame, cols: Sequence[str], n_boot: int, seed: int, unit: Sequence[str]
-) -> DataFrame:
-    """Poisson(1)-weighted mean per (model, replicate): the resampling scheme for very large n.
-
-    Every row meets every replicate where it lies; map-side combine leaves replicates × models rows per task.
-    """
-    weighted = (
-        values.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .withColumn(
-            "u", F.pmod(F.xxhash64(F.lit(seed), "model", *unit, "replicate"), F.lit(1 << 32)) / float(1 << 32)
-        )
-        .withColumn("w", sum(((F.col("u") >= p).cast("int") for p in POISSON_CDF), F.lit(0)))
-    )
-    return weighted.groupBy("model", "replicate").agg(
-        *[
-            F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c)
-            for c in cols
-        ]
-    )
-
-
 def bootstrap_ci(
     aggregates: DataFrame,
     columns: Sequence[str],
     n_boot: int = 1000,
     ci: float = 0.95,
     seed: int = 42,
-    draw_rows: int = DRAW_ROWS,
 ) -> DataFrame:
     """Percentile bootstrap interval of the mean per model, resampling questions.
 
-    No value gives null, one value gives (v, v). Models with more than ``draw_rows`` questions use Poisson
-    weights instead of explicit draws, which differ from them by O(1/n).
+    No value gives null, one value gives (v, v). The same draws are made at every size: a model's values travel
+    as one array of eight bytes a question, so the number of questions per model is bounded by executor memory.
     """
     if n_boot < 1 or not 0 < ci < 1:
         raise ValueError("n_boot must be at least 1 and ci inside (0, 1)")
     cols = present(aggregates, columns)
     rows = aggregates.filter(F.col("model").isNotNull())
-    unit = present(aggregates, ["question_id"])
-    values = rows.select("model", *unit, *[number(F.col(c)).alias(c) for c in cols])
-    hot = hot_groups(rows, ["model"], draw_rows)
-    if hot is None:
-        replicates = _replicates_by_draw(values, cols, n_boot, seed)
-    else:
-        is_hot = all_equal(values, hot, ["model"])
-        replicates = _replicates_by_draw(
-            values.join(hot, is_hot, "left_anti"), cols, n_boot, seed
-        ).unionByName(
-            _replicates_by_weight(values.join(hot, is_hot, "left_semi"), cols, n_boot, seed, unit)
-        )
+    values = rows.select("model", *[number(F.col(c)).alias(c) for c in cols])
+    replicates = _replicates_by_draw(values, cols, n_boot, seed)
     bounds = [(1 - ci) / 2, (1 + ci) / 2]
     intervals = replicates.groupBy("model").agg(*[F.percentile(c, bounds).alias(c) for c in cols])
     return intervals.select(
@@ -133,12 +94,11 @@ def model_summary(
     n_boot: int = 1000,
     ci: float = 0.95,
     seed: int = 42,
-    draw_rows: int = DRAW_ROWS,
 ) -> DataFrame:
     """One row per model: ``n_questions`` and mean, low, high of every column present."""
     cols = present(aggregates, columns)
     joined = model_means(aggregates, cols).join(
-        bootstrap_ci(aggregates, cols, n_boot, ci, seed, draw_rows), "model", "left"
+        bootstrap_ci(aggregates, cols, n_boot, ci, seed), "model", "left"
     )
     return joined.select(
         "model", "n_questions", *[f"{c}_{part}" for c in cols for part in ("mean", "ci_low", "ci_high")]

@@ -66,9 +66,16 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines checkpoint with the fixed schema; blank lines are skipped."""
-    rows = spark.read.schema(RESPONSE_SCHEMA).json(path)
-    return rows.filter(F.col("model").isNotNull() | F.col("question_id").isNotNull())
+    """JSON-lines checkpoint with the fixed schema; blank lines are skipped, an unreadable line is an error.
+
+    The error names the file and the line when the rows are read, so a cut answer is never taken for a missing one.
+    """
+    broken = "_unreadable"
+    schema = f"{RESPONSE_SCHEMA}, {broken} string"
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", broken).json(path)
+    told = F.concat(F.lit("unreadable answer in "), F.col("_metadata.file_path"), F.lit(": "), F.left(broken, F.lit(200)))
+    checked = rows.withColumn("model", F.when(F.col(broken).isNotNull(), F.raise_error(told).cast("string")).otherwise(F.col("model")))
+    return checked.filter(F.col("model").isNotNull() | F.col("question_id").isNotNull()).drop(broken)
 
 
 def write_responses(

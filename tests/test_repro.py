@@ -37,7 +37,7 @@ def test_null_keys_null_texts_and_nan(spark):
     assert lost.token_f1_mean == 0.5 and lost.token_f1_std is None
     assert got["m"].token_f1_std is None and got["m"].normalized_self_agreement_rate == 1.0
     named = {r.model: r for r in repro.compute_aggregates(spark.createDataFrame(data, SCHEMA), missing_text="nan").collect()}
-    assert (named[None].unique_responses, named[None].avg_response_length) == (2, pytest.approx(7 / 3))
+    assert (named[None].unique_responses, named[None].avg_response_length) == (1, pytest.approx(7 / 3))
 
 
 def test_no_runs_gives_null_rates(spark):
@@ -80,3 +80,15 @@ def test_semantic_columns(spark):
     merged = repro.compute_aggregates(spark.createDataFrame(rows(), SCHEMA), side).collect()
     assert {r.semantic_self_similarity_mean for r in merged} == {0.91, 0.88, None} and len(merged) == 4
     assert not any(isinstance(v, float) and math.isnan(v) for r in merged for v in r)
+
+
+def test_raw_counts_skip_missing_text_under_the_nan_policy(spark):
+    from evenkeel.operators import report
+
+    rows = spark.createDataFrame(
+        [("m", "q", 0, None), ("m", "q", 1, "a")], "model string, question_id string, run_index int, response_text string"
+    )
+    told = repro.run_stats(rows, missing_text="nan").first()
+    assert told.unique_responses == 1 and told.unique_normalized_responses == 2
+    overall = report.global_uniqueness(rows, missing_text="nan").first()
+    assert (overall.total_outputs, overall.unique_outputs, overall.unique_normalized_outputs) == (1, 1, 2)

@@ -126,3 +126,13 @@ def test_stage_resume(spark, tmp_path):
     assert stages.write_stage(two, out, stages.SCORED, resume=True, csv=True)
     assert stages.read_stage(spark, out, stages.SCORED).first().model == "two"
     assert stages.read_csv(spark, f"{out}/scored_responses.csv").select(F.col("model")).first().model == "two"
+
+
+def test_an_unreadable_answer_is_an_error(spark, tmp_path):
+    from evenkeel.sources.stages import read_responses
+
+    (tmp_path / "a.jsonl").write_text('{"model": "m", "question_id": "q1", "run_index": 0}\n\n')
+    assert read_responses(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.jsonl").write_text('{"model": "m", "question_id": "q2", "run_in\n')
+    with pytest.raises(Exception, match="unreadable answer in .*b.jsonl"):
+        read_responses(spark, str(tmp_path)).collect()

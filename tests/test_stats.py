@@ -1,3 +1,6 @@
+import hashlib
+
+import numpy as np
 import pytest
 
 from evenkeel.operators import stats
@@ -28,13 +31,19 @@ def test_interval_is_repeatable_and_depends_on_seed(spark):
     assert runs[0] == runs[1] and runs[0] != runs[2]
 
 
-def test_weighted_path_agrees(spark):
-    drawn = {r.model: r for r in stats.bootstrap_ci(table(spark), ["x"], 1000).collect()}
-    mixed = {r.model: r for r in stats.bootstrap_ci(table(spark), ["x"], 1000, draw_rows=20).collect()}
-    assert mixed["b"] == drawn["b"]
-    width = drawn["a"].x_ci_high - drawn["a"].x_ci_low
-    assert mixed["a"].x_ci_low == pytest.approx(drawn["a"].x_ci_low, abs=0.2 * width)
-    assert mixed["a"].x_ci_high == pytest.approx(drawn["a"].x_ci_high, abs=0.2 * width)
+def test_one_scheme_at_every_size(spark):
+    """200,000 questions of one model: the interval is that of the plain draw formula."""
+    n, boots = 200_000, 3
+    values = [((i * 7919) % 1000) / 1000 for i in range(n)]
+    rows = spark.range(n).selectExpr("'m' as model", "concat('q', id) as question_id", "(id * 7919 % 1000) / 1000 as x")
+    ordered = sorted(values)
+    means = []
+    for r in range(boots):
+        picks = (int(hashlib.md5(f"42|m|{r}|{i}".encode()).hexdigest()[:8], 16) % n for i in range(n))
+        means.append(sum(ordered[p] for p in picks) / n)
+    got = stats.bootstrap_ci(rows, ["x"], boots).first()
+    assert got.x_ci_low == pytest.approx(np.quantile(means, 0.025), abs=1e-9)
+    assert got.x_ci_high == pytest.approx(np.quantile(means, 0.975), abs=1e-9)
 
 
 def test_bad_arguments(spark):
