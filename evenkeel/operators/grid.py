@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -130,28 +131,41 @@ def run_requests(pending: DataFrame, factory: Callable[[], Generate], tasks: int
     """One call per pending row.
 
     ``factory()`` is called in a task only once it has a row and returns
-    ``generate(model=, prompt=, seed=, system=) -> dict``. A failed call becomes a row with ``error`` set, to be
+    ``generate(model=, prompt=, seed=, system=) -> dict``; a function that has a parameter ``provider`` gets that
+    too, so one run can ask models of several providers. A failed call becomes a row with ``error`` set, to be
     kept out of the checkpoint so that :func:`pending_requests` offers it again. Calls are not repeatable:
     write the result before using it twice. ``tasks`` spreads the calls when the question source has few
     partitions.
     """
 
-    def call(generate: Generate, model: str, prompt: str, seed: str | None, system: str | None) -> tuple:
+    def takes_provider(generate: Generate) -> bool:
+        try:
+            return "provider" in inspect.signature(generate).parameters
+        except (TypeError, ValueError):  # a callable without a readable signature
+            return False
+
+    def call(
+        generate: Generate, more: bool, model: str, prompt: str, seed: str | None, system: str | None, provider: str
+    ) -> tuple:
         now = datetime.now(UTC).isoformat()
+        extra = {"provider": provider} if more else {}
         try:
-            reply = generate(model=model, prompt=prompt, seed=None if seed is None else int(seed), system=system)
+            reply = generate(
+                model=model, prompt=prompt, seed=None if seed is None else int(seed), system=system, **extra
+            )
         except Exception as problem:  # noqa: BLE001 - any failure of the caller's function is data here
             return now, None, False, None, None, None, f"{type(problem).__name__}: {problem}"
         counts = (reply.get(k) for k in ("total_duration", "eval_count", "prompt_eval_count"))
         return now, str(reply.get("response", "")), bool(reply.get("done", False)), *counts, None
 
     def stream(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        generate = None
+        generate, more = None, False
         names = [part.split()[0] for part in REPLY_SCHEMA.split(", ")]
         for columns in batches:
             if generate is None and len(columns[0]):
                 generate = factory()
-            rows = [call(generate, *values) for values in zip(*columns)]
+                more = takes_provider(generate)
+            rows = [call(generate, more, *values) for values in zip(*columns)]
             frame = pd.DataFrame(rows, columns=names, dtype=object)
             yield frame.astype({c: "Int64" for c in ("total_duration", "eval_count", "prompt_eval_count")})
 
@@ -160,9 +174,10 @@ def run_requests(pending: DataFrame, factory: Callable[[], Generate], tasks: int
         "return": Iterator[pd.DataFrame],
     }
     ask = F.pandas_udf(stream, REPLY_SCHEMA).asNondeterministic()
+    provider = F.col("provider") if "provider" in pending.columns else F.lit(None).cast("string")
     spread = pending if tasks is None else pending.repartition(tasks, *KEY)
     return spread.withColumn(
-        "reply", ask("model", "question", F.col("seed").cast("string"), "system")
+        "reply", ask("model", "question", F.col("seed").cast("string"), "system", provider)
     ).select(
         "reply.*",
         *[c for c in RESPONSE_COLUMNS if c in pending.columns],

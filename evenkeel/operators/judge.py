@@ -58,21 +58,27 @@ def judge_requests(df: DataFrame, rubric: str = DEFAULT_RUBRIC, missing_text: st
 
 
 def _ask(factory: Callable[[], Judge], prompt: Column, fallback: Column) -> Column:
-    def stream(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """(text, error) of one request; a judge that fails costs its own row only."""
+
+    def reply(judge: Judge, prompt: str, fallback: str) -> tuple[str | None, str | None]:
+        try:
+            return str(judge(prompt)).strip() or str(judge(fallback)).strip(), None
+        except Exception as problem:  # noqa: BLE001 - any failure of the caller's function is data here
+            return None, f"{type(problem).__name__}: {problem}"
+
+    def stream(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         judge = None
         for prompts, fallbacks in batches:
             if judge is None and len(prompts):
                 judge = factory()
-            yield pd.Series(
-                [str(judge(p)).strip() or str(judge(f)).strip() for p, f in zip(prompts, fallbacks)],
-                dtype=object,
-            )
+            rows = [reply(judge, *both) for both in zip(prompts, fallbacks)]
+            yield pd.DataFrame(rows, columns=["text", "error"], dtype=object)
 
     stream.__annotations__ = {
         "batches": Iterator[tuple[pd.Series, pd.Series]],
-        "return": Iterator[pd.Series],
+        "return": Iterator[pd.DataFrame],
     }
-    return F.pandas_udf(stream, "string").asNondeterministic()(prompt, fallback)
+    return F.pandas_udf(stream, "text string, error string").asNondeterministic()(prompt, fallback)
 
 
 def apply_judge(
@@ -81,18 +87,29 @@ def apply_judge(
     rubric: str = DEFAULT_RUBRIC,
     enabled: bool = True,
 ) -> DataFrame:
-    """Adds ``judge_score`` and ``judge_rationale`` (the whole reply); an empty reply is asked once more."""
+    """Adds ``judge_score``, ``judge_rationale`` (the whole reply) and ``judge_error``.
+
+    An empty reply is asked once more. A call that fails leaves score and reply null and says why in
+    ``judge_error``. Replies are not repeatable: write the result before using it twice.
+    """
     if not enabled:
         return df.withColumns(
-            {"judge_score": F.lit(None).cast("double"), "judge_rationale": F.lit("")}
+            {
+                "judge_score": F.lit(None).cast("double"),
+                "judge_rationale": F.lit(""),
+                "judge_error": F.lit(None).cast("string"),
+            }
         )
     if factory is None:
         raise ValueError("judge is enabled but no judge is given")
     asked = judge_requests(df, rubric).withColumn(
-        "judge_rationale", _ask(factory, F.col("judge_prompt"), F.col("judge_fallback"))
+        "_reply", _ask(factory, F.col("judge_prompt"), F.col("judge_fallback"))
     )
-    return asked.withColumn("judge_score", parse_judge_score(F.col("judge_rationale"))).select(
-        *df.columns, "judge_score", "judge_rationale"
+    return asked.select(
+        *df.columns,
+        parse_judge_score(F.col("_reply.text")).alias("judge_score"),
+        F.col("_reply.text").alias("judge_rationale"),
+        F.col("_reply.error").alias("judge_error"),
     )
 
 
@@ -158,7 +175,7 @@ def rejudge(
     seed: int = 42,
     order_by: str | None = None,
 ) -> DataFrame:
-    """Every answer of the stratified subset judged ``passes`` times, in long form."""
+    """Every answer of the stratified subset judged ``passes`` times, in long form; failed calls say why."""
     if passes < 2 or subset < 1:
         raise ValueError("passes must be at least 2 and subset at least 1")
     tasks = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), subset * passes)
@@ -169,15 +186,16 @@ def rejudge(
         .withColumn("pass_index", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
         .repartition(tasks, "response_idx", "pass_index")
     )
-    replied = calls.withColumn("judge_text", _ask(factory, F.col("judge_prompt"), F.col("judge_fallback")))
+    replied = calls.withColumn("_reply", _ask(factory, F.col("judge_prompt"), F.col("judge_fallback")))
     return replied.select(
         "response_idx",
         "model",
         "question_id",
         "run_index",
         "pass_index",
-        parse_judge_score(F.col("judge_text")).alias("judge_score"),
-        "judge_text",
+        parse_judge_score(F.col("_reply.text")).alias("judge_score"),
+        F.col("_reply.text").alias("judge_text"),
+        F.col("_reply.error").alias("judge_error"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.hashing import fingerprint, number
 from evenkeel.functions.render import format_mean_ci
-from evenkeel.operators.groups import IN_MEMORY_ROWS, aggregate_with_quantiles, all_equal
+from evenkeel.operators.groups import IN_MEMORY_ROWS, aggregate_with_quantiles, all_equal, pin_small
 from evenkeel.operators.score import present, with_normalized
 
 QUALITY = ("token_f1", "string_similarity", "exact_match", "bleu", "rouge_l", "bertscore_f1", "judge_score")
@@ -145,10 +145,13 @@ def token_f1_bar(df: DataFrame) -> DataFrame:
 def string_similarity_box(
     df: DataFrame, column: str = "string_similarity", in_memory_rows: int = IN_MEMORY_ROWS
 ) -> DataFrame:
-    """Per model: quartiles, whiskers (outermost values within 1.5 IQR) and how many values lie outside."""
+    """Per model: quartiles, whiskers (outermost values within 1.5 IQR) and how many values lie outside.
+
+    The boxes, one row per model, are pinned before the join, so the answers are not shuffled by model for it.
+    """
     rows = df.select("model", number(F.col(column)).alias("value"))
     marks = {"q1": ("value", 0.25), "median": ("value", 0.5), "q3": ("value", 0.75)}
-    boxes = aggregate_with_quantiles(rows, ["model"], [], marks, in_memory_rows)
+    boxes = pin_small(aggregate_with_quantiles(rows, ["model"], [], marks, in_memory_rows))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
     joined = rows.join(boxes, all_equal(rows, boxes, ["model"])).select(rows["*"], *marks)

@@ -105,14 +105,7 @@ def write_responses(spark, sf_dir):
         "csv": stages.read_csv(spark, f"{base}.csv", stages.RESPONSE_SCHEMA),
     }
     parts = [
-        df.agg(
-            F.lit(kind).alias("kind"),
-            F.count(F.lit(1)).alias("n"),
-            F.count("response_text").alias("texts"),
-            F.sum(F.char_length("response_text")).alias("chars"),
-            F.sum("total_duration").alias("ns"),
-        )
-        for kind, df in back.items()
+        df.select(F.lit(kind).alias("kind"), *RAW, "question", "gold_answer") for kind, df in back.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -124,12 +117,7 @@ def read_stage(spark, sf_dir):
     stages.write_stage(rows, both, stages.RAW)
     stages.write_csv(rows, f"{csv_only}/{stages.RAW}.csv")
     parts = [
-        stages.read_stage(spark, path, stages.RAW).agg(
-            F.lit(kind).alias("kind"),
-            F.count(F.lit(1)).alias("n"),
-            F.count("response_text").alias("texts"),
-            F.sum(F.char_length("response_text")).alias("chars"),
-        )
+        stages.read_stage(spark, path, stages.RAW).select(F.lit(kind).alias("kind"), *RAW)
         for kind, path in (("csv", csv_only), ("parquet", both))
     ]
     return parts[0].unionByName(parts[1])
@@ -141,8 +129,7 @@ def write_stage(spark, sf_dir):
     rows = derived.answers(spark, sf_dir)
     stages.write_stage(rows, path, stages.RAW, resume=True)
     stages.write_stage(rows.filter("run_index > 100"), path, stages.RAW, resume=True)  # skipped: committed
-    stored = stages.read_stage(spark, path, stages.RAW)
-    return stored.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("run_index").alias("runs"))
+    return stages.read_stage(spark, path, stages.RAW).select(*RAW)
 
 
 @query
@@ -170,12 +157,11 @@ def write_judge_reliability(spark, sf_dir):
     path = stages.scratch_dir(spark)
     long = derived.judge_passes(spark, sf_dir)
     stages.write_judge_reliability(long, judge.judge_summary(long), path)
-    stored = stages.read_csv(
+    return stages.read_csv(
         spark,
         f"{path}/judge_reliability_scores.csv",
         "response_idx string, model string, question_id string, pass_index int, judge_score double, judge_text string",
     )
-    return r9(judge.icc1(stored))
 
 
 @query
@@ -504,13 +490,24 @@ def apply_judge(spark, sf_dir):
 
 @query
 def rejudge(spark, sf_dir):
-    return judge.rejudge(derived.answers(spark, sf_dir), derived.hash_judge)
+    return judge.rejudge(derived.answers(spark, sf_dir), derived.hash_judge).drop("judge_error")
+
+
+@query
+def judge_reliability(spark, sf_dir):
+    rows = derived.answers(spark, sf_dir)
+    return r9(staged.judge_reliability(rows, derived.hash_judge, stages.scratch_dir(spark))["judge_reliability_summary"])
 
 
 @query
 def encode(spark, sf_dir):
     encoded = vectors.encode(derived.table(spark, sf_dir, "conversations"), "text", derived.hash_encoder, 64)
-    return encoded.agg(F.count("text").alias("texts"), F.sum(F.size("vectors")).alias("vectors"))
+
+    def total(d: int):
+        return F.aggregate("vectors", F.lit(0.0), lambda s, v: s + v[d].cast("double")).alias(f"s{d + 1}")
+
+    sums = [total(d) for d in range(8)]
+    return encoded.select("text", F.size("vectors").cast("bigint").alias("vectors"), *sums)
 
 
 @query

@@ -97,7 +97,10 @@ def judge_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of eight stored vectors read as texts; consecutive texts form a pair. Groups stay at eight rows."""
+    """Runs of eight stored vectors read as texts; consecutive texts form a pair. Groups stay at eight rows.
+
+    The last text of an odd number has no partner and is matched with itself, so every vector is used.
+    """
     vectors = table(spark, sf_dir, "embeddings").withColumn(
         "text_id", F.floor(F.col("vec_id") / VECTORS_PER_TEXT)
     )
@@ -109,7 +112,7 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = F.floor(F.col("text_id") / 2).alias("pair_id")
     left = texts.filter(F.col("text_id") % 2 == 0).select(pair, F.col("vectors").alias("cand"))
     right = texts.filter(F.col("text_id") % 2 == 1).select(pair, F.col("vectors").alias("ref"))
-    return left.join(right, "pair_id")
+    return left.join(right, "pair_id", "left").withColumn("ref", F.coalesce("ref", "cand"))
 
 
 def digits(text: str) -> str:

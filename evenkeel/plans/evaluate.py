@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from evenkeel.functions.vectors import Encoder
 from evenkeel.operators import compare, grid, judge, report, repro, score, semantic, stats
@@ -12,6 +13,53 @@ from evenkeel.sources import stages
 from evenkeel.sources.questions import sample_questions
 
 
+def _in_waves(
+    asked: DataFrame,
+    call: Callable[[DataFrame], DataFrame],
+    path: str,
+    error: str,
+    resume: bool,
+    waves: int,
+    wanted: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> tuple[DataFrame | None, DataFrame]:
+    """(kept, new): rows of ``call`` that earlier runs left without an error, and all rows of this run's calls.
+
+    The open cells are stored once, by wave, and every wave is committed on its own. A fresh run starts a new series
+    of waves; so does a resumed one whose series holds no row that is ``wanted``.
+    """
+    spark = asked.sparkSession
+
+    def wave_path(series: int, wave: int) -> str:
+        return f"{path}/series-{series}/wave-{wave}"
+
+    def attempts(first: int, last: int) -> DataFrame:
+        return spark.read.parquet(*[wave_path(series, i) for i in range(first, last)])
+
+    def without_error(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col(error).isNull())
+
+    series = done = 0
+    while stages.committed(spark, wave_path(series, 0)):
+        series += 1
+    if resume and series:
+        series -= 1
+        while stages.committed(spark, wave_path(series, done)):
+            done += 1
+        if wanted(without_error(attempts(0, done))).isEmpty():
+            series, done = series + 1, 0
+    pending = grid.pending_requests(asked, without_error(attempts(0, done))) if done else asked
+    parts = [pending]
+    if waves > 1:
+        wave_of = F.pmod(F.xxhash64(*grid.KEY), F.lit(waves)).cast("int")
+        open_cells = f"{path}/series-{series}/open-{done}"
+        pending.withColumn("_wave", wave_of).write.mode("overwrite").partitionBy("_wave").parquet(open_cells)
+        kept = spark.read.schema(StructType([*pending.schema.fields, StructField("_wave", IntegerType())])).parquet(open_cells)
+        parts = [kept.filter(F.col("_wave") == wave).drop("_wave") for wave in range(waves)]
+    for wave, part in enumerate(parts):
+        call(part).write.mode("overwrite").parquet(wave_path(series, done + wave))
+    return without_error(attempts(0, done)) if done else None, attempts(done, done + len(parts))
+
+
 def collect_answers(
     questions: DataFrame,
     models: Sequence[grid.ModelSpec],
@@ -32,35 +80,65 @@ def collect_answers(
     wave it was in. Failed calls stay in their wave with the error and are asked again by a resumed run. A
     fresh run starts a new series of waves and never reads an older one.
     """
-    spark = questions.sparkSession
     asked = grid.request_grid(
         models, questions, runs_per_prompt, base_seed, deterministic, shared_instruction
     )
+    kept, tried = _in_waves(
+        asked, lambda part: grid.run_requests(part, generate, tasks), f"{out_dir}/attempts", "error", resume, waves
+    )
+    new = tried.filter(F.col("error").isNull()).drop("error")
+    rows = new if kept is None else grid.union_responses(kept.drop("error"), new)
+    return grid.within_grid(rows, asked) if only_grid else rows
 
-    def wave_path(series: int, wave: int) -> str:
-        return f"{out_dir}/attempts/series-{series}/wave-{wave}"
 
-    series = 0
-    while stages.committed(spark, wave_path(series, 0)):
-        series += 1
-    if resume and series:
-        series -= 1
-    done = 0
-    while stages.committed(spark, wave_path(series, done)):
-        done += 1
-
-    def answered(first: int, last: int) -> DataFrame:
-        paths = [wave_path(series, i) for i in range(first, last)]
-        return spark.read.parquet(*paths).filter(F.col("error").isNull()).drop("error")
-
-    pending = grid.pending_requests(asked, answered(0, done)) if done else asked
-    wave_of = F.pmod(F.xxhash64(*grid.KEY), F.lit(waves))
-    for wave in range(waves):
-        calls = grid.run_requests(pending.filter(wave_of == wave) if waves > 1 else pending, generate, tasks)
-        calls.write.mode("overwrite").parquet(wave_path(series, done + wave))
-    new = answered(done, done + waves)
-    rows = grid.union_responses(answered(0, done), new) if done else new
-    return grid.within_grid(rows, asked) if only_grid else rows
+def judge_answers(
+    answers: DataFrame,
+    factory: Callable[[], judge.Judge],
+    out_dir: str,
+    rubric: str = judge.DEFAULT_RUBRIC,
+    resume: bool = False,
+    waves: int = 1,
+) -> DataFrame:
+    """``model, question_id, run_index, judge_score, judge_rationale, judge_error`` of every answer.
+
+    The judge is asked in ``waves``, each committed on its own. A failed call is a row with ``judge_error`` that a
+    resumed run asks again; so are all rows if no earlier reply could be parsed. Raises if there are answers and none
+    has a score.
+    """
+    columns = ["judge_score", "judge_rationale", "judge_error"]
+    kept, tried = _in_waves(
+        answers.select(*grid.KEY, "question", "gold_answer", "response_text"),
+        lambda part: judge.apply_judge(part, factory, rubric).select(*grid.KEY, *columns),
+        f"{out_dir}/judge_attempts", "judge_error", resume, waves, lambda rows: rows.filter("judge_score IS NOT NULL"),
+    )
+    return judge.require_parsed(tried if kept is None else kept.unionByName(tried))
+
+
+def judge_reliability(
+    answers: DataFrame,
+    factory: Callable[[], judge.Judge],
+    out_dir: str,
+    subset: int = 25,
+    passes: int = 5,
+    rubric: str = judge.DEFAULT_RUBRIC,
+    seed: int = 42,
+    order_by: str | None = None,
+    resume: bool = False,
+) -> dict[str, DataFrame]:
+    """Scores of repeated judging and their summary, both committed in ``out_dir`` (parquet and CSV).
+
+    The judge is asked ``subset`` × ``passes`` times; the summary is made from the stored scores. With ``resume``
+    stored scores are used again unless none of them could be parsed.
+    """
+    spark, names = answers.sparkSession, ("judge_reliability_scores", "judge_reliability_summary")
+    good = resume and stages.stage_exists(spark, out_dir, names[0]) and not (
+        stages.read_stage(spark, out_dir, names[0]).filter("judge_score IS NOT NULL").isEmpty()
+    )
+    long = judge.rejudge(answers, factory, subset, passes, rubric, seed, order_by)
+    stages.write_stage(long, out_dir, names[0], good, csv=True)
+    stored = judge.require_parsed(stages.read_stage(spark, out_dir, names[0]))
+    stages.write_stage(judge.judge_summary(stored), out_dir, names[1], csv=True)
+    return {name: stages.read_stage(spark, out_dir, name) for name in names}
 
 
 def report_tables(
@@ -69,14 +147,17 @@ def report_tables(
     n_boot: int = 1000,
     ci: float = 0.95,
     seed: int = 42,
+    commit: Callable[[str, DataFrame], DataFrame] = lambda name, table: table,
 ) -> dict[str, DataFrame]:
     """Every report and figure table by name. Pass stored tables: each is read by several of them.
 
-    The bootstrap runs once for both interval tables and both bar figures.
+    ``commit(name, table)`` gets the tables that others are made from and returns what they are to be made of: with a
+    function that stores them, the bootstrap and the model comparison run once.
     """
     columns = [*report.QUALITY_TITLES, *report.REPRODUCIBILITY_TITLES]
-    summary = stats.model_summary(aggregates, columns, n_boot, ci, seed)
-    pairs = compare.pairwise_model_similarity(scored)
+    summary = commit("model_summary", stats.model_summary(aggregates, columns, n_boot, ci, seed))
+    order = [c for c in ("timestamp_utc",) if c in scored.columns]
+    pairs = commit("part_5_similarity", compare.pairwise_model_similarity(scored, order))
     tables = {
         "model_summary": summary,
         "table_1_quality": report.mean_ci_table(summary, report.QUALITY_TITLES),
@@ -122,8 +203,13 @@ def evaluate(
     seed: int = 42,
     batch_size: int = 8,
     missing_text: str | None = None,
+    raw_jsonl: bool = False,
+    raw_csv: bool = False,
 ) -> dict[str, DataFrame]:
-    """run → score → report; with ``resume`` finished stages are read back instead of run again."""
+    """run → judge → score → report; with ``resume`` finished stages are read back instead of run again.
+
+    ``raw_jsonl`` and ``raw_csv`` write the raw answers in those formats too, from the committed table.
+    """
     spark = questions.sparkSession
     if not (resume and stages.stage_exists(spark, out_dir, stages.SCORED)):
         chosen = sample_questions(questions, head, random, sample_seed)
@@ -133,12 +219,16 @@ def evaluate(
         )
         stages.write_stage(answers, out_dir, stages.RAW)
         raw = stages.read_stage(spark, out_dir, stages.RAW)
+        if raw_jsonl or raw_csv:
+            stages.write_responses(raw, out_dir, jsonl=raw_jsonl, parquet=False, csv=raw_csv)
         scored = score.score_responses(raw, encoder, batch_size, missing_text)
-        scored = judge.apply_judge(scored, judge_factory, rubric, enabled=judge_factory is not None)
+        if judge_factory is None:
+            scored = judge.apply_judge(scored, None, rubric, enabled=False)
+        else:  # audited before the stage is committed, so a run whose replies all failed can be resumed
+            judged = judge_answers(raw, judge_factory, out_dir, rubric, resume, waves)
+            scored = scored.join(judged.dropDuplicates(list(grid.KEY)), list(grid.KEY), "left")
         stages.write_scored(scored, out_dir)
     scored = stages.read_stage(spark, out_dir, stages.SCORED)
-    if judge_factory is not None:
-        judge.require_parsed(scored)
     if not (resume and stages.stage_exists(spark, out_dir, stages.AGGREGATES)):
         similar = None
         if encoder is not None:
@@ -147,7 +237,13 @@ def evaluate(
             repro.compute_aggregates(scored, similar, missing_text), out_dir, stages.AGGREGATES, csv=True
         )
     aggregates = stages.read_stage(spark, out_dir, stages.AGGREGATES)
-    tables = report_tables(scored, aggregates, n_boot, ci, seed)
-    for name, table in tables.items():
-        stages.write_stage(table, f"{out_dir}/report", name, resume)
-    return {name: stages.read_stage(spark, f"{out_dir}/report", name) for name in tables}
+    stored: dict[str, DataFrame] = {}
+
+    def commit(name: str, table: DataFrame) -> DataFrame:
+        if name not in stored:
+            stages.write_stage(table, f"{out_dir}/report", name, resume)
+            stored[name] = stages.read_stage(spark, f"{out_dir}/report", name)
+        return stored[name]
+
+    tables = report_tables(scored, aggregates, n_boot, ci, seed, commit)
+    return {name: commit(name, table) for name, table in tables.items()}

@@ -71,10 +71,10 @@ NORMED = f"""{ANSWERS}, normed AS (
 
 GRAMS = """orders AS (SELECT unnest([1, 2, 3, 4]) AS n), ga AS (
   SELECT pid, n, array_to_string(a[i:i + n - 1], ' ') AS g, count(*) AS c
-  FROM pairs, orders, range(1, 400) r(i) WHERE i + n - 1 <= len(a) GROUP BY ALL), goldn AS (
+  FROM pairs, orders, range(1, (SELECT max(len(a)) + 1 FROM pairs)) r(i) WHERE i + n - 1 <= len(a) GROUP BY ALL), goldn AS (
   SELECT ng, any_value(b) AS b FROM pairs GROUP BY ng), gb AS (
   SELECT ng, n, array_to_string(b[i:i + n - 1], ' ') AS g, count(*) AS c
-  FROM goldn, orders, range(1, 25000) r(i) WHERE i + n - 1 <= len(b) GROUP BY ALL), hits AS (
+  FROM goldn, orders, range(1, (SELECT max(len(b)) + 1 FROM pairs)) r(i) WHERE i + n - 1 <= len(b) GROUP BY ALL), hits AS (
   SELECT pid, n, sum(least(ga.c, gb.c))::BIGINT AS m
   FROM ga JOIN pairs USING (pid) JOIN gb USING (ng, n, g) GROUP BY pid, n)"""
 
@@ -195,7 +195,7 @@ def run_pairs(budget: int = PAIR_BUDGET, seed: int = 42) -> str:
       CASE WHEN list_contains(s, {drawn}) THEN {last} ELSE {drawn} END), []::BIGINT[])
     ELSE range(0, total) END) AS rank FROM sizes), index_pairs AS (
   SELECT model, question_id, i, j FROM picks JOIN (
-    SELECT i, j, (j * (j - 1) / 2)::BIGINT + i AS rank FROM range(0, 10) a(i), range(0, 10) b(j) WHERE i < j)
+    SELECT i, j, (j * (j - 1) / 2)::BIGINT + i AS rank FROM range(0, (SELECT max(n) FROM sizes)) a(i), range(0, (SELECT max(n) FROM sizes)) b(j) WHERE i < j)
   USING (rank)), touched AS (
   SELECT model, question_id, x, row_number() OVER (PARTITION BY model, question_id ORDER BY x) - 1 AS at FROM (
     SELECT model, question_id, i AS x FROM index_pairs UNION SELECT model, question_id, j FROM index_pairs)),
@@ -299,17 +299,15 @@ def queries() -> dict[str, str]:
               CASE WHEN turn % 2 = 0 THEN '' ELSE 'turn' END AS kind FROM conversations)
             WHERE {strip("question")} <> '' AND {strip("answer")} <> ''""",
         "read_responses": f"WITH {ANSWERS} SELECT {raw} FROM answers",
-        "write_responses": f"""WITH {ANSWERS} SELECT kind, count(*) AS n, count(response_text) AS texts,
-            sum(length(response_text))::BIGINT AS chars, sum(total_duration)::BIGINT AS ns
-            FROM answers, (SELECT unnest(['jsonl', 'parquet', 'csv']) AS kind) GROUP BY kind""",
-        "read_stage": f"""WITH {ANSWERS} SELECT kind, count(*) AS n, count(response_text) AS texts,
-            sum(length(response_text))::BIGINT AS chars FROM answers,
-            (SELECT unnest(['csv', 'parquet']) AS kind) GROUP BY kind""",
-        "write_stage": f"WITH {ANSWERS} SELECT model, count(*) AS n, sum(run_index)::BIGINT AS runs FROM answers GROUP BY model",
+        "write_responses": f"""WITH {ANSWERS} SELECT kind, {raw}, question, gold_answer
+            FROM answers, (SELECT unnest(['jsonl', 'parquet', 'csv']) AS kind)""",
+        "read_stage": f"""WITH {ANSWERS} SELECT kind, {raw} FROM answers, (SELECT unnest(['csv', 'parquet']) AS kind)""",
+        "write_stage": f"WITH {ANSWERS} SELECT {raw} FROM answers",
         "write_scored": f"""WITH {SCORED_F1} SELECT model, question_id, run_index, response_text,
             {r9('token_f1')}, {r9('exact_match')} FROM scored""",
         "write_aggregates": f"""WITH {NORMED}, {RUNS} SELECT model, question_id, {RUN_COLUMNS} FROM run_stats""",
-        "write_judge_reliability": f"WITH {PASSES}, {ICC} SELECT {r9('icc1')} FROM icc",
+        "write_judge_reliability": f"""WITH {ANSWERS} SELECT model || '|' || question_id AS response_idx, model, question_id,
+            run_index AS pass_index, {parsed('judge_text')} AS judge_score, judge_text FROM answers""",
         "export_sample": f"WITH {QA} SELECT id, question, gold_answer FROM qa ORDER BY {draw('42', 'id')}, id LIMIT 50",
         # projections and filters
         "head_sample": f"WITH {QA} SELECT id, question FROM qa ORDER BY conv_id, turn LIMIT 25",
@@ -407,7 +405,8 @@ def queries() -> dict[str, str]:
         "rouge_l": f"WITH {SCORED} SELECT model, question_id, run_index, {r9('rouge_l')} FROM scored",
         "embedding_match": """WITH v AS (SELECT vec_id, vec_id // 16 AS pair_id, (vec_id // 8) % 2 AS side, embedding::DOUBLE[] AS e
             FROM embeddings), c AS (SELECT a.pair_id, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.e, b.e) AS s
-            FROM v a JOIN v b ON a.pair_id = b.pair_id AND a.side = 0 AND b.side = 1), p AS (
+            FROM v a JOIN v b ON a.pair_id = b.pair_id AND a.side = 0 AND b.side = CASE WHEN a.pair_id IN
+              (SELECT pair_id FROM v WHERE side = 1) THEN 1 ELSE 0 END), p AS (
             SELECT pair_id, avg(s) AS p FROM (SELECT pair_id, i, max(s) AS s FROM c GROUP BY ALL) GROUP BY pair_id), r AS (
             SELECT pair_id, avg(s) AS r FROM (SELECT pair_id, j, max(s) AS s FROM c GROUP BY ALL) GROUP BY pair_id)
             SELECT pair_id, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1
@@ -428,8 +427,20 @@ def queries() -> dict[str, str]:
             reply AS judge_rationale FROM replied""",
         "rejudge": f"""WITH {ANSWERS}, {PROMPTS}, {SUBSET} SELECT response_idx, model, question_id, run_index, p::INTEGER AS pass_index,
             {parsed('reply')} AS judge_score, reply AS judge_text FROM subset, range(0, 5) t(p)""",
-        "encode": f"""SELECT count(*) AS texts, sum(n)::BIGINT AS vectors FROM (
-            SELECT DISTINCT text, len({tokens('text')}) AS n FROM conversations)""",
+        "judge_reliability": f"""WITH {ANSWERS}, {PROMPTS}, {SUBSET}, long AS (
+            SELECT response_idx, p::INTEGER AS pass_index, {parsed('reply')} AS judge_score FROM subset, range(0, 5) t(p)),
+            per AS (SELECT response_idx, count(judge_score) AS k, avg(judge_score) AS m, sum(judge_score) AS s,
+              stddev_samp(judge_score) AS within_std FROM long GROUP BY ALL), good AS (SELECT * FROM per WHERE k >= 2), {ICC}
+            SELECT 5.0::DOUBLE AS passes, count(*)::DOUBLE AS n_responses,
+            {r9('avg(within_std)', 'mean_within_response_std')}, {r9('median(within_std)', 'median_within_response_std')},
+            (SELECT round(icc1, 9) FROM icc) AS icc1 FROM good""",
+        "encode": f"""WITH words AS (SELECT text, unnest({tokens('text')}) AS tok FROM (SELECT DISTINCT text FROM conversations)),
+            sums AS (SELECT text, count(*) AS vectors, {', '.join(
+                f"sum(('0x' || substr(md5(tok), {d}, 1))::INTEGER - 7.5::DOUBLE) AS s{d}" for d in range(1, 9))}
+              FROM words GROUP BY text)
+            SELECT DISTINCT c.text, coalesce(vectors, 0) AS vectors, {', '.join(
+                f"coalesce(s{d}, 0)::DOUBLE AS s{d}" for d in range(1, 9))}
+            FROM conversations c LEFT JOIN sums s ON s.text = c.text WHERE c.text IS NOT NULL""",
         "evaluate": f"""WITH {replies(3, 3)}, normed AS (SELECT *, {norm('response_text')} AS nr FROM answers), {RUNS}
             SELECT model, {', '.join(r9(f'avg({c})', c) for c in REPRO_COLUMNS)} FROM run_stats GROUP BY model""",
         # report tables

@@ -89,20 +89,26 @@ def read_gold_markdown(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split(F.regexp_replace("line", r"\A\|+|\|+\z", ""), r"\|", -1)
     body = table.filter(~F.col("at").isin([r["at"] for r in head]))
     rows = body.withColumn("cells", F.transform(cells, strip))
-    bad = rows.filter(F.size("cells") != len(titles)).select("line").limit(20).collect()
-    if bad:
-        raise ValueError(f"malformed rows: {[r['line'] for r in bad]}")
+    bad = rows.filter(F.size("cells") != len(titles)).agg(F.count(F.lit(1)), F.min("line")).first()
+    if bad[0]:
+        raise ValueError(f"malformed rows: {bad[0]}, one of them {bad[1]!r}")
     keep = [*REQUIRED, *[c for c in OPTIONAL if c in titles]]
     out = rows.select(*[F.get("cells", titles.index(c)).alias(c) for c in keep])
-    twice = out.groupBy("id").count().filter("count > 1").select("id").limit(20).collect()
-    if twice:
-        raise ValueError(f"duplicate question ids: {sorted(r['id'] for r in twice)}")
+    twice = out.groupBy("id").count().filter("count > 1").agg(F.count(F.lit(1)), F.min("id")).first()
+    if twice[0]:
+        raise ValueError(f"duplicate question ids: {twice[0]}, the first of them {twice[1]!r}")
     return out
 
 
 def _find(columns: Sequence[str], titles: Sequence[str]) -> str | None:
-    by_title = {c.strip().lower(): c for c in columns}
-    return next((by_title[t] for t in titles if t in by_title), None)
+    """The column whose title stands first in ``titles``; of columns with the same title the last."""
+    best, found = len(titles), None
+    for column in columns:
+        title = column.strip().lower()
+        rank = titles.index(title) if title in titles else len(titles)
+        if rank < len(titles) and rank <= best:
+            best, found = rank, column
+    return found
 
 
 def usable(question: Column, answer: Column) -> Column:

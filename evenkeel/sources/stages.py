@@ -20,7 +20,8 @@ SCORED_SCHEMA = RESPONSE_SCHEMA + (
     ", output_tokens double, latency_ms double, tokens_per_second double, normalized_response string, "
     "normalized_gold string, exact_match double, normalized_exact_match double, token_f1 double, "
     "string_similarity double, bleu double, rouge_l double, bertscore_precision double, "
-    "bertscore_recall double, bertscore_f1 double, judge_score double, judge_rationale string"
+    "bertscore_recall double, bertscore_f1 double, judge_score double, judge_rationale string, "
+    "judge_error string"
 )
 RAW, SCORED, AGGREGATES = "raw_responses", "scored_responses", "aggregates"
 SCHEMAS = {RAW: RESPONSE_SCHEMA, SCORED: SCORED_SCHEMA}
@@ -127,5 +128,6 @@ def write_aggregates(df: DataFrame, path: str) -> None:
 
 
 def write_judge_reliability(long: DataFrame, summary: DataFrame, path: str) -> None:
+    """Both tables as CSV. Pass stored tables: ``long`` is read again for every table made from it."""
     write_csv(long, f"{path}/judge_reliability_scores.csv")
     write_csv(summary, f"{path}/judge_reliability_summary.csv")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,6 +43,34 @@ def stream_responses(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def stream_unreadable(
+    spark: SparkSession,
+    landing: str,
+    out: str,
+    checkpoint: str,
+    once: bool = True,
+    interval: str = "1 minute",
+    files_per_trigger: int | None = None,
+) -> StreamingQuery:
+    """Appends every landed line that is no answer to a table ``path, line``: unparsed text, or a key that is missing.
+
+    Runs beside :func:`stream_responses` with a checkpoint of its own. Blank lines are skipped.
+    """
+    broken = "_unreadable"
+    reader = spark.readStream.schema(f"{RESPONSE_SCHEMA}, {broken} string").option("columnNameOfCorruptRecord", broken)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in KEY])
+    rows = reader.json(landing)
+    whole = F.to_json(F.struct(*[c for c in rows.columns if c != broken]))
+    lost = rows.filter(F.col(broken).isNotNull() | no_key).select(
+        F.col("_metadata.file_path").alias("path"), F.coalesce(broken, whole).alias("line")
+    )
+    writer = lost.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    writer = writer.outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+
+
 def stream_progress(
     spark: SparkSession,
     landing: str,

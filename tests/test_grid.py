@@ -96,3 +96,18 @@ def test_whole_evaluation_and_resume(spark, questions, tmp_path):
     resumed = evaluate(questions, MODELS, counting(log), out, resume=True, **kwargs)
     assert len(calls(log)) == 10
     assert sorted(map(str, resumed["model_summary"].collect())) == sorted(map(str, tables["model_summary"].collect()))
+
+
+def test_provider_reaches_a_function_that_takes_it(spark, questions):
+    def factory():
+        return lambda model, prompt, seed, system, provider: {"response": f"{model} at {provider}"}
+
+    got = grid.run_requests(grid.request_grid(MODELS, questions, 1), factory).collect()
+    assert {r.response_text for r in got} == {"a at ollama", "b at other"} and {r.error for r in got} == {None}
+
+
+def test_raw_answers_in_other_formats(spark, questions, tmp_path):
+    out = str(tmp_path / "out")
+    evaluate(questions, MODELS[:1], counting(str(tmp_path / "log")), out, runs_per_prompt=2, n_boot=20, raw_jsonl=True, raw_csv=True)
+    assert stages.read_responses(spark, f"{out}/{stages.RAW}.jsonl").count() == 4
+    assert stages.read_csv(spark, f"{out}/{stages.RAW}.csv", stages.RESPONSE_SCHEMA).count() == 4

@@ -4,6 +4,8 @@ import os
 import pytest
 
 from evenkeel.operators import judge
+from evenkeel.plans.evaluate import judge_answers, judge_reliability
+from evenkeel.sources import stages
 
 N = None
 # Published repeated judge scores (rows are responses, columns passes) and the published summaries.
@@ -85,6 +87,7 @@ def test_rejudge_and_apply(spark):
 
     df = answers(spark, ["a", "b"], 4)
     calls = judge.rejudge(df, factory, subset=4, passes=4)
+    assert {r.judge_error for r in calls.collect()} == {None}
     rows = calls.collect()
     assert len(rows) == 16 and {r.response_idx for r in rows} == {0, 1, 2, 3}
     assert judge.judge_summary(calls).first().n_responses == 4.0
@@ -131,3 +134,58 @@ def test_request_is_valid_json(spark):
     }
     assert json.loads(body) == expected and body == json.dumps(expected, ensure_ascii=False)
     assert row.judge_fallback.endswith("MODEL_ANSWER: nan\n") and os.linesep in row.judge_fallback
+
+
+def logging_judge(log, broken="", reply="score=0.5"):
+    def factory():
+        def ask(prompt):
+            with open(log, "a") as out:
+                out.write("call\n")
+            if broken and broken in prompt:
+                raise TimeoutError("no reply")
+            return reply
+
+        return ask
+
+    return factory
+
+
+def asked(log):
+    return len(open(log).read().split())
+
+
+def test_reliability_asks_once_and_summarises_what_is_stored(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+
+    logged = logging_judge(log)
+
+    def factory():
+        ask = logged()
+        return lambda prompt: f"{ask(prompt)}{os.urandom(1)[0] % 10}"
+
+    df = answers(spark, ["a", "b", "c", "d", "e"], 10)
+    tables = judge_reliability(df, factory, out)
+    assert asked(log) == 125 and tables["judge_reliability_scores"].count() == 125
+    again = judge.judge_summary(stages.read_stage(spark, out, "judge_reliability_scores")).first()
+    assert tuple(tables["judge_reliability_summary"].first()) == pytest.approx(tuple(again), abs=1e-12)
+    judge_reliability(df, factory, out, resume=True)
+    assert asked(log) == 125
+
+
+def test_one_failing_call_loses_one_row(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    df = answers(spark, ["a"], 6)
+    first = judge_answers(df, logging_judge(log, "answer 3"), out, waves=2).collect()
+    assert sorted(r.run_index for r in first if r.judge_error is None) == [0, 1, 2, 4, 5]
+    assert [r.judge_error for r in first if r.run_index == 3] == ["TimeoutError: no reply"]
+    second = judge_answers(df, logging_judge(log), out, resume=True, waves=2).collect()
+    assert [r.judge_score for r in second] == [0.5] * 6 and asked(log) == 7
+
+
+def test_run_without_any_score_can_be_resumed(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    df = answers(spark, ["a"], 3)
+    for reply, broken in (("undecided", ""), ("", "answer")):
+        with pytest.raises(RuntimeError):
+            judge_answers(df, logging_judge(log, broken, reply), out, resume=True)
+    assert {r.judge_score for r in judge_answers(df, logging_judge(log), out, resume=True).collect()} == {0.5}

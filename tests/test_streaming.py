@@ -21,3 +21,12 @@ def test_replays_and_restart_keep_one_row_per_key(spark, tmp_path):
     progress = str(tmp_path / "progress")
     ingest.stream_progress(spark, str(landing), progress, str(tmp_path / "ck2")).awaitTermination()
     assert {r.model: r.completed_calls for r in spark.read.parquet(progress).collect()} == {"m0": 26, "m1": 25}
+
+
+def test_unreadable_lines_land_in_an_error_table(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    land(landing / "a.json", [("m0", "q1", 0, "fine"), (None, "q1", 0, "no key")])
+    (landing / "b.json").write_text('{"model": "m0", "question_id": "q2", "run_in\n\n')
+    ingest.stream_unreadable(spark, str(landing), out, str(tmp_path / "ck")).awaitTermination()
+    got = {(r.path.rsplit("/", 1)[1], r.line[:30]) for r in spark.read.parquet(out).collect()}
+    assert got == {("a.json", '{"question_id":"q1","run_index'), ("b.json", '{"model": "m0", "question_id":')}
