@@ -59,6 +59,38 @@ def test_vectors(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_vectors(rows):
+    good = [(i, y, np.array(v)) for i, y, v in rows]
+    links = [(a[0], b[0]) for a, b in itertools.combinations(good, 2)
+             if a[1] == b[1] and len(a[2]) == len(b[2]) and a[2] @ b[2] / np.linalg.norm(a[2]) / np.linalg.norm(b[2]) >= 0.98]
+    root = reach([i for i, _, _ in rows], links)
+    return sorted((i, sum(i in x for x in links), root[i]) for i, _, _ in rows)
+
+
+def test_vectors_of_several_lengths(spark):
+    draw = np.random.default_rng(6)
+    rows = []
+    for k in range(40):
+        centre = draw.standard_normal(4)
+        for n in range(6):
+            v = centre + draw.standard_normal(4) * 0.05
+            rows.append((len(rows), 0, v[: 4 - n % 3].tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert sorted(tuple(r)[:3] for r in embed_dedup.near_duplicates(df).collect()) == brute_vectors(rows)
+
+
+def test_vectors_of_two_lengths_in_one_bucket():
+    import pyarrow as pa
+
+    vectors = [[1.0, 0.0], [1.0, 0.01], [1.0, 0.0, 0.0], [1.0, 0.01, 0.0]]
+    ones = [0] * 4
+    batch = pa.table({"bucket": ones, "part_i": ones, "part_j": ones, "part": ones, "t": ones, "node": [1, 2, 3, 4], "label": ["x"] * 4,
+                      "vector": pa.array(vectors, pa.list_(pa.float64())), "copies": [1] * 4, "keys": pa.array([[9]] * 4, pa.list_(pa.int64()))}).to_batches()
+    told = [r for b in embed_dedup.compare(iter(batch), 0.98, 1) for r in b.to_pylist()]
+    assert sorted((r["a"], r["n"]) for r in told if r["b"] is None) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    assert sorted(sorted((r["a"], r["b"])) for r in told if r["b"] is not None) == [[1, 2], [3, 4]]
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     if not words:
