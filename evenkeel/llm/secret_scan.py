@@ -1,6 +1,7 @@
 """Secrets: base patterns, and assignment-aware lexing of source and configuration text.
 
-Names and literals on both sides of ``=`` and ``:`` are lexed to pairs; a name that is set from another name (or
+Names and literals on both sides of an assignment (``=``, ``:``, ``:=``, ``=>``, ``?=``, ``+=``, also
+``name: Type = literal``) are lexed to pairs; a name that is set from another name (or
 ``${name}``) takes over its literals, also through ``+``; a literal is scored by the most sensitive name that it
 reaches and by its own look.
 """
@@ -22,7 +23,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this is [0-9a-f]+ of 24 characters or more
 
-SIGN = re.compile(r"[:=]")
+SIGN = re.compile(r":(?::{0,2}=)?|=+")  # one token; two or more "=" compare
+BEFORE = re.compile(r"(?:\|\||\?\?|&&|//|[?+.])\Z")  # with "=": the name may keep what it had
+TYPED = re.compile(r"""[ \t]*(?:[\w.$&*?!|]++|::|'(?=[a-z]+\b(?!'))|\[[^\]\n="]{0,80}\]|(?><[^=\n"]{0,160}>)|\([^)\n="]{0,80}\)|[ \t]++)+?([ \t]*):?=(?![=>~])""")
+TYPED_REACH = 240  # characters after ":" in which a type and its "=" stand
+# fixed values: names of types, which no assignment sets after "name:", and words that stand before ":" without being set
+TYPES = frozenset(
+    "string str String Str text Text bytes byte char bool boolean Boolean int integer Integer long float double number "
+    "Number any Any object Object auto var val const final null undefined None nil unknown u8 NSString String_t wstring".split()
+)
+CONTROL = frozenset(("else", "try", "finally", "default", "do", "otherwise", "begin"))
 NAME = re.compile(r"""([A-Za-z_$][\w.$-]*)["'\]]{0,2}[ \t]*\Z""")
 NAME_REACH = 160  # characters before the sign in which its name stands
 LITERAL = re.compile(r'''"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`''')
@@ -61,63 +71,123 @@ def literal_weight(value: str) -> float:
 Piece = tuple[int, int, str]
 
 
+def value(text: str, at: int) -> tuple[list[Piece], list[str], int]:
+    """Literals and names from ``at`` on, as far as they are joined, and where they end."""
+    literals: list[Piece] = []
+    names: list[str] = []
+    while True:
+        while at < len(text) and text[at] in " \t":
+            at += 1
+        quoted, braced = LITERAL.match(text, at), BRACED.match(text, at)
+        if braced:
+            names.append(braced[1])
+            at = braced.end()
+        elif quoted:
+            part = next(i for i in (1, 2, 3) if quoted[i] is not None)
+            literals.append((*quoted.span(part), quoted[part]))
+            names += [a or b for a, b in REFERENCE.findall(quoted[part])] if "$" in quoted[part] else []
+            at = quoted.end()
+        else:
+            bare = BARE.match(text, at)
+            if not bare:
+                break
+            refers = REFERENCE.fullmatch(bare[0])
+            if refers:
+                names.append(refers[1] or refers[2])
+            if not refers or not refers[1]:
+                literals.append((*bare.span(), bare[0]))
+            at = bare.end()
+        joined = JOIN.match(text, at)
+        if not joined:
+            break
+        at = joined.end()
+    return literals, names, at
+
+
+def name_before(text: str, end: int) -> re.Match | None:
+    return NAME.search(text, max(0, end - NAME_REACH), end)
+
+
+def is_quoted(text: str, literals: list[Piece]) -> bool:
+    return bool(literals) and text[literals[0][0] - 1 : literals[0][0]] in ("\"", "'", "`")
+
+
+def is_type(name: str) -> bool:
+    return name in TYPES or (name[:1].isupper() and not name.isupper() and not name_weight(name))
+
+
 def pairs(text: str) -> list[tuple[str, list[Piece], list[str]]]:
-    """(name, literals, names referred to) of every assignment in order."""
+    """(name, literals, names referred to) of every assignment in order.
+
+    A name that may keep what it had (``+=``, ``?=``) refers to itself. In ``name: Type = literal`` the literal is
+    that of ``name``; where ``Type`` may be a name that is set (``else: x = ...``), it has the literal too.
+    """
     out, past = [], 0
     for sign in SIGN.finditer(text):
-        at = sign.end()
-        if sign.start() < past or text[at : at + 1] == "=" or text[sign.start() - 1 : sign.start()] in ("=", "!", "<", ">", ":"):
+        start, at = sign.span()
+        if start < past or sign[0].startswith("==") or text[start - 1 : start] in ("=", "!", "<", ">", ":"):
             continue
+        keeps = BEFORE.search(text, max(0, start - 2), start) if sign[0] == "=" else None
+        named = name_before(text, keeps.start() if keeps else start)
         while at < len(text) and text[at] in "=>~":
             at += 1
-        named = NAME.search(text, max(0, sign.start() - NAME_REACH), sign.start())
         if not named:
             continue
-        literals: list[Piece] = []
-        names: list[str] = []
-        while True:
-            while at < len(text) and text[at] in " \t":
-                at += 1
-            quoted, braced = LITERAL.match(text, at), BRACED.match(text, at)
-            if braced:
-                names.append(braced[1])
-                at = braced.end()
-            elif quoted:
-                part = next(i for i in (1, 2, 3) if quoted[i] is not None)
-                literals.append((*quoted.span(part), quoted[part]))
-                names += [a or b for a, b in REFERENCE.findall(quoted[part])] if "$" in quoted[part] else []
-                at = quoted.end()
-            else:
-                bare = BARE.match(text, at)
-                if not bare:
-                    break
-                refers = REFERENCE.fullmatch(bare[0])
-                if refers:
-                    names.append(refers[1] or refers[2])
-                if not refers or not refers[1]:
-                    literals.append((*bare.span(), bare[0]))
-                at = bare.end()
-            joined = JOIN.match(text, at)
-            if not joined:
-                break
-            at = joined.end()
-        past = at if literals and text[literals[0][0] - 1 : literals[0][0]] in ("\"", "'", "`") else sign.end()
+        targets, low = [named[1]], sign.end()
+        typed = TYPED.match(text, at, at + TYPED_REACH) if sign[0] == ":" else None
+        literals, names, end = value(text, typed.end() if typed else at)
+        if typed and literals and (typed[1] or is_quoted(text, literals)):
+            low = typed.end()
+            inner = name_before(text, typed.end(1))
+            if inner and inner.start(1) >= at and (named[1] in CONTROL or not is_type(inner[1])):
+                targets.append(inner[1])
+        elif typed:
+            literals, names, end = value(text, at)
+        elif named[1] in TYPES:  # Go: var name string = literal
+            first = name_before(text, named.start(1))
+            targets += [first[1]] if first and first.end(1) < named.start(1) else []
+        past = end if is_quoted(text, literals) else low
         if literals or names:
-            out.append((named[1], literals, names))
+            out += [(t, literals, [*names, t] if keeps else names) for t in targets]
     return out
 
 
+def final_values(listed: list[tuple[str, list[Piece], list[str]]]) -> dict[str, tuple[list[Piece], list[str]]]:
+    """Literals and references of the last assignment of each name, and of those before it that it keeps."""
+    last: dict[str, tuple[list[Piece], list[str]]] = {}
+    for name, literals, names in listed:
+        if name not in names or name not in last:
+            last[name] = [], []
+        last[name][0].extend(literals)
+        last[name][1].extend(names)
+    return last
+
+
 def found_literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitive name."""
     known: dict[str, list[Piece]] = {}
     best: dict[tuple[int, int], float] = {}
     listed = pairs(text)
-    later = {name: literals for name, literals, _ in listed}  # configuration may name what is set further down
+    later = final_values(listed)  # configuration may name what is set further down, in any number of steps
+    reached: dict[str, list[Piece]] = {}
+
+    def ahead(name: str) -> list[Piece]:
+        if name not in reached:
+            seen, open_names, pieces = {name}, [name], []
+            while open_names:
+                literals, names = later.get(open_names.pop(), ((), ()))
+                pieces += literals
+                more = [n for n in dict.fromkeys(names) if n not in seen]
+                seen.update(more)
+                open_names += more
+            reached[name] = list(dict.fromkeys(pieces))
+        return reached[name]
+
     for name, literals, names in listed:
-        carried = [p for n in names for p in known.get(n, later.get(n, ()))]
+        carried = [p for n in names for p in (known[n] if n in known else ahead(n))]
         weight = name_weight(name)
-        for start, end, value in [*literals, *carried]:
-            look = literal_weight(value) if weight >= 2 else 0.0
+        for start, end, value_ in [*literals, *carried]:
+            look = literal_weight(value_) if weight >= 2 else 0.0
             if look:
                 best[start, end] = max(best.get((start, end), 0.0), weight + look)
         known[name] = list(dict.fromkeys([*literals, *carried])) if names else literals

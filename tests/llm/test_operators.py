@@ -260,6 +260,33 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, []).limit(0)).count() == 0
 
 
+SECRET = "q8Wz7Lm2Xc90Vb"
+
+
+@pytest.mark.parametrize("text", [
+    f'apiKey := "{SECRET}"', f"apiKey := '{SECRET}';", f"API_KEY ?= {SECRET}", f"API_KEY ::= {SECRET}", f'apiKey += "{SECRET}"', f"'apiKey' => '{SECRET}'", f'apiKey ||= "{SECRET}"',
+    f'const apiKey: string = "{SECRET}";', f'x: string = "zzz111AAAbbb";\nconst apiKey: string = "{SECRET}";', f'def f(apiKey: Optional[str] = "{SECRET}"):', f'apiKey:str="{SECRET}"',
+    f'let apiKey: &\'static str = "{SECRET}";', f'apiKey: std::string = "{SECRET}"', f"apiKey: string := '{SECRET}';", f'var apiKey string = "{SECRET}"', f'else: apiKey = "{SECRET}"', f'note: apiKey="{SECRET}"',
+    f'a := "{SECRET}"\nuse(apiKey=a)', f"apiKey=${{A}}\nA=${{B}}\nB=${{C}}\nC={SECRET}", f"apiKey=${{A}}\nA=${{B}}\nB=${{A}} + {SECRET}", f'a = "{SECRET}"\na += "x"\napiKey = a',
+])
+def test_assignment_forms(text):
+    at = text.index(SECRET)
+    assert [(a, b) for a, b, _ in secret_scan.found_literals(text)] == [(at, at + len(SECRET))]
+
+
+@pytest.mark.parametrize("sign", ["==", "===", "!=", "!==", "<=", ">="])
+def test_comparisons_are_no_assignments(sign):
+    assert secret_scan.found_literals(f'if (apiKey {sign} "{SECRET}") {{}}') == []
+
+
+def test_types_are_lexed_in_bounded_time():
+    assert secret_scan.found_literals(("a: " + "<>" * 110 + "[] " * 60 + "\n") * 200) == []
+
+
+def test_type_names_carry_nothing():
+    assert secret_scan.found_literals('x: string = "zzz111AAAbbb";\nfunction f(password: string) {}') == []
+
+
 def base_pii(text):
     def luhn(v):
         d = [int(c) for c in re.sub(r"\D", "", v)][::-1]
