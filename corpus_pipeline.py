@@ -36,7 +36,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, vocabulary())
+    return packing.pack(docs, vocabulary(), special=True)
 
 
 STAGES = [

@@ -35,15 +35,22 @@ class Tokens:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"] for t in spec["added_tokens"]}
+        added = spec["added_tokens"]
+        for t in added:
+            if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+                raise ValueError(f"added token that is not matched as it is: {t['content']!r}")
+        special = {t["content"]: t["id"] for t in added}
         letters = self.byte_letters()
         ranks = {
             bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special
         }
-        self.full, self.single = (
-            tiktoken.Encoding(path, pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        full, single = (
+            tiktoken.Encoding(path, pat_str=p, mergeable_ranks=ranks, special_tokens=special)
             for p in (self.PATTERN, self.SINGLE)
         )
+        self.full, self.single = full.encode_ordinary, single.encode_ordinary
+        self.with_special = lambda text: full.encode(text, allowed_special="all")
+        self.special = list(special)
 
     @staticmethod
     def byte_letters() -> dict[str, int]:
@@ -57,20 +64,24 @@ class Tokens:
         pairs = any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
         return pairs or text[:1].isspace() or text[-1:].isspace() or self.RARE.search(text) is not None
 
-    def of(self, text: str) -> bytes:
+    def of(self, text: str, special: bool = False) -> bytes:
+        """With ``special``, added tokens written in the text are one id each, as the reference tokenizer reads them."""
+        if special and any(t in text for t in self.special):
+            return array("I", self.with_special(text)).tobytes()
         return array("I", (self.full if self.wide(text) else self.single)(text)).tobytes()
 
 
 LOADED: dict[str, Tokens] = {}  # one per worker process and vocabulary
 
 
-def cut(batch: pa.RecordBatch, path: str, capacity: int, with_ids: bool) -> dict:
+def cut(batch: pa.RecordBatch, path: str, capacity: int, with_ids: bool, special: bool = False) -> dict:
     """Pieces of every document: its ids, then id 0, in lengths of ``capacity``; the first piece may be shorter."""
     if path not in LOADED:
         LOADED[path] = Tokens(path)
     tokens = LOADED[path]
     out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-    for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(tokens.of, texts(batch, "text")), strict=True):
+    encoded = (tokens.of(t, special) for t in texts(batch, "text"))
+    for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
         ids += b"\0\0\0\0"
         total = len(ids) // 4
         start, end, piece = 0, total % capacity or capacity, 0
@@ -160,18 +171,20 @@ def pack(
     capacity: int = CAPACITY,
     group_pieces: int = GROUP_PIECES,
     with_ids: bool = False,
+    special: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``).
 
     ``vocabulary`` is the JSON file of a byte-level BPE tokenizer. A document is its ids, then id 0; longer ones are
     cut. Pieces are dealt by hash to groups of about ``group_pieces``, each packed in one task; texts are not
-    shuffled. A null text is empty: one id. Special tokens written in a text are ordinary text. Repeated rows and
-    null ids are documents of their own. An empty table gives an empty result; other columns are ignored.
+    shuffled. A null text is empty: one id. Added tokens written in a text (``<|endoftext|>``) are ordinary text, or
+    with ``special`` one id each, as the reference tokenizer has it by default; the queries use that. Repeated rows
+    and null ids are documents of their own. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long"
     shape += ", ids array<int>" if with_ids else ""
-    pieces = stored(arrow_map(rows, lambda b: cut(b, vocabulary, capacity, with_ids), shape))
+    pieces = stored(arrow_map(rows, lambda b: cut(b, vocabulary, capacity, with_ids, special), shape))
     parts = max(1, round(pieces.count() / group_pieces))
     drawn = pieces.withColumn("draw", F.xxhash64("doc_id", "piece", "ids_crc32"))
     dealt = drawn.withColumn("part", F.pmod("draw", F.lit(parts)).cast("int"))

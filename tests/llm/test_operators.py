@@ -234,6 +234,24 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, []).limit(0), vocabulary()).count() == 0
 
 
+def test_added_tokens_as_the_tokenizer_reads_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from evenkeel.llm import queries
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>\n\ny<|endoftext|><|endoftext|> ", "<|endoftext", "plain  text \n", "", None]
+    tok = Tokenizer.from_file(vocabulary())
+    tokens = packing.Tokens(vocabulary())
+    for text in texts:
+        assert np.frombuffer(tokens.of(text or "", True), "<u4").tolist() == tok.encode(text or "", add_special_tokens=False).ids, text
+    rows = docs(spark, list(enumerate(texts)))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i, len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in enumerate(texts)]
+    for packed in (queries.op6_sum_of_squares_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, rows, "")):
+        assert sorted((r["doc_id"], r["length"]) for r in packed.collect()) == want
+
+
 BASE = {
     "assign": r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+",
