@@ -1,7 +1,7 @@
 """Toxic passages: maximum-scoring segments over token log-odds, calibrated by extreme values.
 
-Training: words are counted once a document in toxic and other labelled texts; log-odds with an informative
-Dirichlet prior (the corpus counts) give each word and each word beginning a z-score, and those above a threshold
+Training: words are counted once a document in toxic and other labelled texts, and in all texts; log-odds with an
+informative Dirichlet prior (the counts of all texts) give each word and each word beginning a z-score, and those above a threshold
 score by their log-odds. All other words cost a little. Scoring: a linear scan finds every maximal segment of
 positive total; lambda and K of the extreme-value law turn a segment's total into an expected count by chance in a
 text of that length. The bits of all segments that chance does not explain are added up; a logistic curve over
@@ -29,6 +29,7 @@ BEGINNINGS = range(3, 9)
 Z_LEAST, DRIFT, CAP = 4.0, 0.5, 6.0
 SIGNIFICANT = 0.01  # expected count by chance, below which a passage is reported
 NO_PASSAGE = -6.0
+HELD_WORDS = 200_000  # words that a task counts before it hands them on
 SEED = 5
 
 
@@ -108,25 +109,60 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def weights_of(counted: DataFrame) -> dict[str, float]:
-    """Log-odds of words and beginnings with a Dirichlet prior as strong as the toxic sample, where z is high."""
+def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, documents with it) of the rows of a task, in pieces of a bounded number of words."""
+    counts: Counter[str] = Counter()
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            for text in texts(batch.slice(start, SLICE), "text"):
+                counts.update(set(WORD.findall(text.lower())))
+                if len(counts) > HELD_WORDS:
+                    yield told()
+                    counts.clear()
+    if counts:
+        yield told()
+
+
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): in how many of all ``docs``, labelled or not, each word stands; combined map-side."""
+    counted = docs.select("text").mapInArrow(count_documents, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def with_features(counted: DataFrame, *columns: str) -> DataFrame:
+    """A row for each word as a whole and for each of its beginnings."""
     ways = [F.concat(F.lit("="), F.col("word"))]
     ways += [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("+"))) for n in BEGINNINGS]
-    both = counted.select("toxic", "other", F.explode(F.array(*ways)).alias("feature")).filter("feature is not null")
-    both = both.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
+    return counted.select(*columns, F.explode(F.array(*ways)).alias("feature")).filter("feature is not null")
+
+
+def weights_of(counted: DataFrame, background: DataFrame) -> dict[str, float]:
+    """Log-odds of words and beginnings with a Dirichlet prior as strong as the toxic sample, where z is high.
+
+    ``background(word, n)`` has the document counts of the whole corpus, which share the prior out among the words.
+    """
     totals = counted.agg(F.sum("toxic"), F.sum("other")).first()
     if not totals[0] or not totals[1]:
         return {}
     n_t, n_o = map(float, totals)
+    n_all = float(background.agg(F.sum("n")).first()[0])
+    both = with_features(counted, "toxic", "other").groupBy("feature")
+    both = both.agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).filter("t > 2")
+    spread_out = with_features(background, "n").groupBy("feature").agg(F.sum("n").alias("n"))
+    both = both.join(spread_out, "feature")
     prior = n_t  # as many prior words as the toxic sample has
-    alpha = (F.col("t") + F.col("o")) * (prior / (n_t + n_o))
+    alpha = F.col("n") * (prior / n_all)
 
     def odds(count, total: float):
         return F.log(count + alpha) - F.log(F.lit(total + prior) - count - alpha)
 
     delta = odds(F.col("t"), n_t) - odds(F.col("o"), n_o)
     spread = F.sqrt(1 / (F.col("t") + alpha) + 1 / (F.col("o") + alpha))
-    kept = both.filter("t > 2").select("feature", delta.alias("delta"), (delta / spread).alias("z"))
+    kept = both.select("feature", delta.alias("delta"), (delta / spread).alias("z"))
     kept = kept.filter((F.col("z") >= Z_LEAST) & (F.col("delta") > 1)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
     return {r["feature"]: min(CAP, r["delta"]) for r in kept.collect()}
 
@@ -207,7 +243,9 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """A model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; rows with crc32(doc_id) mod 3 = 1 are not used.
+    """A model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; labels with crc32(doc_id) mod 3 = 1 are not used.
+
+    The texts of all ``docs`` enter the prior, by their words' document counts; those take one more scan.
 
     What comes to the driver is bounded: at most ``MAX_FEATURES`` weights, a score histogram, counts of bits.
     Without labels of both kinds no word scores and the score is the share of toxic labels (0 without labels).
@@ -215,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     rows = stored(labelled_rows(docs, labels, max_labelled))
     counted = rows.mapInArrow(count_words, "word string, toxic long, other long")
     counted = stored(counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
-    weights = weights_of(counted)
+    weights = weights_of(counted, stored(document_counts(docs)))
     draft = Model(weights, 1.0, 0.1, 0.5, 0.0)
     scored = arrow_map(
         counted.filter("other > 0"),

@@ -214,6 +214,20 @@ def test_toxicity_held_out(spark):
     assert toxicity.drop_toxic(odd.limit(0), labels).count() == 0
 
 
+def test_toxicity_prior_counts_all_texts(spark, monkeypatch):
+    texts = [(None, "vile vilely x"), (1, "plain words"), (2, "vile vile"), (3, None), (4, ""), (4, "plain")]
+    for held in (1, 200_000):
+        monkeypatch.setattr(toxicity, "HELD_WORDS", held)
+        got = {r["word"]: r["n"] for r in toxicity.document_counts(docs(spark, texts)).collect()}
+        assert got == {"vile": 2, "vilely": 1, "x": 1, "plain": 2, "words": 1}
+    labelled = [(i, f"vile n{i} common" if i % 2 else f"fine n{i} common") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in labelled], "doc_id long, toxic int")
+    alone = toxicity.fit(docs(spark, labelled), labels).weights
+    unlabelled = [(1000 + i, f"vile vilest u{i}") for i in range(300)]
+    among = toxicity.fit(docs(spark, labelled + unlabelled), labels).weights
+    assert alone["=vile"] > among.get("=vile", 0.0)  # a word that all unlabelled texts hold too says less
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
