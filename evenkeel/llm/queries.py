@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenkeel.llm import (
-    decontaminate, embed_dedup, jaccard_join, packing, pii, quality, secret_scan, toxicity, url_filter, warc_revisit,
+    centroids, chat_format, decontaminate, divergence, embed_dedup, jaccard_join, packing, pii, quality, secret_scan,
+    toxicity, url_filter, warc_revisit,
 )
 from evenkeel.llm.common import table
 
@@ -107,11 +108,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", F.size(ids).alias("n_items"), ids.alias("item_ids"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", marked), (-7, 1, "assistant", marked)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat_format.read_back(chat_format.render(chat_format.fold(chat_format.logged(turns))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_url_filter, op3_jaccard_join, op4_warc_revisit, op5_toxicity,
         op6_sum_of_squares_packing, op7_secret_scan, op8_pii, op9_quality, op10_decontamination,
+        op11_centroid_clustering, op12_source_divergence, op13_chat_formatting,
     )
 }
 
@@ -119,6 +136,29 @@ REACHABLE = """
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)"""
 
+
+def centroid_rounds(k: int = 40, rounds: int = 5) -> str:
+    """Assignments ``a0 …`` and centroids ``c0 …`` of each round, squared distances in integers."""
+    steps = [f"""
+v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, q FROM v QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, v.q, min(struct_pack(d := list_sum(list_transform(list_zip(v.q, c{r}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c := c)) AS n
+  FROM v, c{r} GROUP BY vec_id, v.q)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT n.c AS c, i, sum(q[i]) AS s, count(*) AS m FROM a{r}, range(1, 65) t(i) GROUP BY ALL),
+m{r} AS (SELECT c, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS q FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.q, c{r}.q) AS q FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return ",".join(steps)
+
+
+def term_list(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
 SQL = {
     "op1_embedding_dedup": f"""
 WITH RECURSIVE v AS (
@@ -181,4 +221,34 @@ j AS (SELECT m.record_id, m.canon, f.record_id AS refers_to, m.date, CASE WHEN f
     ELSE 'unverified' END AS verdict FROM m LEFT JOIN f ON f.record_id = m.old.id)
 SELECT record_id, canon AS canonical_url, refers_to, verdict,
   CASE WHEN verdict = 'resolved' THEN 'content-type: text/html; date: ' || date || '; expires: never; vary: accept' END AS headers FROM j""",
+    "op11_centroid_clustering": f"""
+WITH {centroid_rounds()}
+SELECT vec_id, n.c::INTEGER AS cluster, n.d AS distance, (sum(n.d) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia,
+  (sum(n.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c5.q, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.c = n.c""",
+    "op12_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {term_list("text")} AS t FROM documents),
+o AS MATERIALIZED (SELECT r, lang, source, unnest(t) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+f AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER w + 5 * count(*) OVER w)::HUGEINT AS p FROM f WINDOW w AS (PARTITION BY lang, source)),
+l AS (SELECT lang, term, sum(n) AS n FROM f GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER w + 5 * count(*) OVER w)::HUGEINT AS q FROM l WINDOW w AS (PARTITION BY lang)),
+pairs AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+told AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.q)::BIGINT FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM told
+QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_chat_formatting": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, length(regexp_replace(text, '{chat_format.PLAIN}', '\\1\\2\\\\\\3', 'g')) + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 15 WHEN 'assistant' THEN 4
+  ELSE 14 + length(role) + 2 * (length(role) - length(translate(role, '%][<', ''))) END AS long FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, (3 + sum(long))::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id""",
 }
