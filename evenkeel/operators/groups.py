@@ -7,11 +7,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from evenkeel.sources.stages import kept
+
 IN_MEMORY_ROWS = 1_000_000  # rows of one group that one task may hold for an exact quantile
 SMALL_TABLE_ROWS = 10_000  # rows of a key table that may become a local (hence broadcastable) relation
 GROUP_LIMIT = 1_000  # largest k for which Spark prunes row_number() <= k before the shuffle
 SKETCH_ACCURACY = 50_000
 SKETCH_MARGIN = 10 / SKETCH_ACCURACY  # ten times the sketch's guaranteed rank error
+WIDER = 16  # factor by which a bracket that missed its rank is widened
+RANGES = 64  # value ranges that share out the ranking of one group
 
 
 def all_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -39,83 +43,111 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = IN_MEMORY_ROWS)
     return None if hot.isEmpty() else hot.drop("group_rows")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]
-) -> DataFrame:
-    """Exact linear-interpolated quantiles of groups of any size, in long form.
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, null equal to null; the keys are those of ``left``, from which ``right`` may be made."""
+    names = {k: f"_right_{k}" for k in keys}
+    other = right.select(*[F.col(k).alias(names[k]) for k in keys], *[c for c in right.columns if c not in names])
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[names[k]]) for k in keys], F.lit(True))
+    return left.join(other, on, how).drop(*names.values())
 
-    Returns ``keys, metric, quantile, value``. A mergeable sketch gives a bracket that must hold the wanted
-    ranks; a second pass counts what lies below it and keeps, pre-aggregated by value, only what lies inside
-    (about 0.04% of a group), so no task ever sees a whole large group. A group so small that the bracket would
-    be narrower than two ranks is ranked as it is. A bracket that missed would raise, not answer wrongly.
+
+def first_ranks(counted: DataFrame, keys: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """``counted(keys, value, copies)``, a row per value, with ``first``: how many copies of the group lie below it.
+
+    A sketch cuts the values of a group into ``ranges`` of about equally many. Copies are summed inside a range, and
+    the ranges' totals are carried from range to range, so one group is ranked by many tasks.
     """
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
-        ).alias("cell"),
-    ).select(*keys, "cell.metric", "cell.value").filter(F.col("value").isNotNull())
-    wanted = [*keys, "metric"]
-    asked = [min(1.0, max(0.0, p + side * SKETCH_MARGIN)) for p in probs for side in (-1, 1)]
-    sketch = long.groupBy(*wanted).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", asked, SKETCH_ACCURACY).alias("bounds")
+    probs = [i / ranges for i in range(1, ranges)]
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("value", probs, 100 * ranges).alias("cuts"))
+    placed = null_safe_join(counted, cuts, keys).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    own = [*keys, "range"]
+    inside = placed.withColumn("upto", F.sum("copies").over(Window.partitionBy(*own).orderBy("value")))
+    totals = placed.groupBy(*own).agg(F.sum("copies").alias("rows"))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*own, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("below"))
+    return null_safe_join(inside, carried, own).select(
+        *keys, "value", "copies", (F.col("below") + F.col("upto") - F.col("copies")).alias("first")
     )
-    exhaustive = F.col("n") * SKETCH_MARGIN < 2
-    brackets = pin_small(
-        sketch.select(
-            *wanted,
-            "n",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(float(p)).alias("quantile"),
-                            F.when(exhaustive | F.lit(p <= SKETCH_MARGIN), float("-inf"))
-                            .otherwise(F.get("bounds", 2 * i))
-                            .alias("low"),
-                            F.when(exhaustive | F.lit(p >= 1 - SKETCH_MARGIN), float("inf"))
-                            .otherwise(F.get("bounds", 2 * i + 1))
-                            .alias("high"),
-                        )
-                        for i, p in enumerate(probs)
-                    ]
-                )
-            ).alias("b"),
-        ).select(*wanted, "n", "b.*")
+
+
+def _bracketed(
+    long: DataFrame, wanted: Sequence[str], probs: Sequence[float], margin: float, asked: DataFrame | None
+) -> DataFrame:
+    """``wanted, quantile, rank, lower, upper``: the values around each rank, null where the bracket missed it."""
+    sides = [min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1)]
+    sketch = long.groupBy(*wanted).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", sides, SKETCH_ACCURACY).alias("bounds")
     )
+    exhaustive = F.col("n") * margin < 2
+
+    def bracket(i: int, p: float) -> Column:
+        low, high = F.get("bounds", F.lit(2 * i)), F.get("bounds", F.lit(2 * i + 1))
+        return F.struct(
+            F.lit(float(p)).alias("quantile"),
+            F.when(exhaustive | F.lit(p <= margin), float("-inf")).otherwise(low).alias("low"),
+            F.when(exhaustive | F.lit(p >= 1 - margin), float("nan")).otherwise(high).alias("high"),  # above all numbers
+        )
+
+    cells = [*wanted, "quantile"]
+    made = F.explode(F.array(*[bracket(i, p) for i, p in enumerate(probs)])).alias("b")
+    brackets = sketch.select(*wanted, "n", made).select(*wanted, "n", "b.*")
+    if asked is not None:
+        brackets = null_safe_join(brackets, asked, cells, "left_semi")
+    brackets = pin_small(brackets.withColumn("rank", (F.col("n") - 1) * F.col("quantile")))
     # value is null for "below the bracket": one row per map task and group after partial aggregation
+    hit = null_safe_join(long, brackets, wanted).filter(F.col("value") <= F.col("high"))
     counted = (
-        long.join(brackets, all_equal(long, brackets, wanted))
-        .filter(long["value"] <= F.col("high"))
-        .select(
-            *[brackets[k] for k in wanted],
-            "quantile",
-            "n",
-            F.when(long["value"] >= F.col("low"), long["value"]).alias("value"),
-        )
-        .groupBy(*wanted, "quantile", "n", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        hit.select(*cells, "rank", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
+        .groupBy(*cells, "rank", "value")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
-    upto = Window.partitionBy(*wanted, "quantile").orderBy(F.col("value").asc_nulls_first())
-    rank = (F.col("n") - 1) * F.col("quantile")
-    ranked = counted.withColumn("last", F.sum("rows").over(upto)).withColumn("rank", rank)
+    below = counted.filter("value IS NULL").select(*cells, F.col("copies").alias("under"))
+    ranked = first_ranks(counted.filter("value IS NOT NULL"), [*cells, "rank"])
+    ranked = null_safe_join(ranked, below, cells, "left").withColumn("first", F.col("first") + F.coalesce("under", F.lit(0)))
 
     def at(position: Column) -> Column:
-        return F.max(F.when((F.col("last") > position) & (F.col("last") - F.col("rows") <= position), F.col("value")))
+        return F.max(F.when((F.col("first") <= position) & (F.col("first") + F.col("copies") > position), F.col("value")))
 
-    picked = ranked.groupBy(*wanted, "quantile", "rank").agg(
+    picked = ranked.groupBy(*cells).agg(
         at(F.floor("rank")).alias("lower"), at(F.ceil("rank")).alias("upper")
     )
-    inside = F.col("lower").isNotNull() & F.col("upper").isNotNull()
-    return picked.select(
-        *wanted,
-        "quantile",
-        F.when(
-            inside, F.col("lower") + (F.col("rank") - F.floor("rank")) * (F.col("upper") - F.col("lower"))
-        )
-        .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .alias("value"),
+    return null_safe_join(brackets.select(*cells, "rank"), picked, cells, "left")
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], margin: float | None = None
+) -> DataFrame:
+    """Exact linear-interpolated quantiles of groups of any size, in long form.
+
+    Returns ``keys, metric, quantile, value``. A mergeable sketch gives a bracket that should hold the wanted
+    ranks; a second pass counts what lies below it and keeps, pre-aggregated by value, only what lies inside
+    (about 0.04% of a group), ranked range by range. A bracket that missed is made wider, for its group alone, until
+    it holds the rank; at the widest it holds the whole group. A group so small that the bracket would be narrower
+    than two ranks is ranked as it is. Missing values are left out; NaN counts as the largest number.
+    """
+    long = kept(
+        df.select(
+            *keys,
+            F.explode(
+                F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
+            ).alias("cell"),
+        ).select(*keys, "cell.metric", "cell.value").filter(F.col("value").isNotNull())
     )
+    wanted = [*keys, "metric"]
+    margin, asked, found = margin or SKETCH_MARGIN, None, []
+    while True:
+        rows = long if asked is None else null_safe_join(long, pin_small(asked.select(*wanted).distinct()), wanted, "left_semi")
+        picked = kept(_bracketed(rows, wanted, probs, margin, asked))
+        inside = F.col("lower").isNotNull() & F.col("upper").isNotNull()
+        found.append(picked.filter(inside))
+        asked = picked.filter(~inside).select(*wanted, "quantile")
+        if asked.isEmpty():
+            break
+        margin *= WIDER
+    whole = reduce(DataFrame.union, found)
+    between = F.col("lower") + (F.col("rank") - F.floor("rank")) * (F.col("upper") - F.col("lower"))
+    value = F.when(F.col("lower") == F.col("upper"), F.col("lower")).otherwise(between)
+    return whole.select(*wanted, "quantile", value.alias("value"))
 
 
 def quantiles_wide(

@@ -217,17 +217,29 @@ def within_response_std(long: DataFrame) -> DataFrame:
     return _per_response(long).filter(F.col("parsed") >= 2).select("response_idx", "parsed", "within_std")
 
 
-def _icc_parts() -> list[Column]:
-    counted = F.col("parsed") >= 2
+def _by_score(responses: DataFrame) -> DataFrame:
+    """Each response as often as it has parsed scores (once at least), with its mean; the rest on the first row only.
+
+    A variance over these rows weighs the means by their scores, and Spark's merges centred moments, so scores that lie
+    close together lose nothing.
+    """
+    first = F.col("copy") == 1
+    alone = [c for c in responses.columns if c not in ("parsed", "total")]
+    return responses.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("parsed", F.lit(1)).cast("int")))).select(
+        *[F.when(first, F.col(c)).alias(c) for c in alone],
+        F.when(F.col("parsed") >= 2, F.col("total") / F.col("parsed")).alias("mean"),
+        (first & (F.col("parsed") >= 2)).alias("counted"),
+    )
+
 
+def _icc_parts() -> list[Column]:
     def over(value: Column, how=F.sum) -> Column:
-        return how(F.when(counted, value))
+        return how(F.when(F.col("counted"), value))
 
     return [
-        F.count_if(counted).alias("_targets"),
-        over(F.col("parsed")).alias("_scores"),
-        over(F.col("total")).alias("_total"),
-        over(F.col("total") * F.col("total") / F.col("parsed")).alias("_between_raw"),
+        F.count_if("counted").alias("_targets"),
+        F.count("mean").alias("_scores"),
+        (F.var_pop("mean") * F.count("mean")).alias("_between"),
         over(F.col("ss_within")).alias("_within"),
         (over(F.col("lowest"), F.min) == over(F.col("highest"), F.max)).alias("_constant"),
     ]
@@ -236,9 +248,7 @@ def _icc_parts() -> list[Column]:
 def _icc() -> Column:
     targets, scores = F.col("_targets"), F.col("_scores")
     k = scores / targets
-    between = F.greatest(
-        F.lit(0.0), F.col("_between_raw") - F.col("_total") * F.col("_total") / scores
-    ) / (targets - 1)
+    between = F.col("_between") / (targets - 1)
     within = F.col("_within") / (scores - targets)
     defined = (targets >= 2) & (scores > targets) & ~F.col("_constant")
     return F.when(defined, F.try_divide(between - within, between + (k - 1) * within))
@@ -246,12 +256,12 @@ def _icc() -> Column:
 
 def icc1(long: DataFrame) -> DataFrame:
     """One-way random-effects ICC(1) over responses with at least two parsed passes; one row."""
-    return _per_response(long).agg(*_icc_parts()).select(_icc().alias("icc1"))
+    return _by_score(_per_response(long)).agg(*_icc_parts()).select(_icc().alias("icc1"))
 
 
 def judge_summary(long: DataFrame, in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
     """passes, n_responses, mean and median within-response std, ICC(1); one row."""
-    counted = _per_response(long).withColumn("std", F.when(F.col("parsed") >= 2, F.col("within_std")))
+    counted = _by_score(_per_response(long)).withColumn("std", F.when(F.col("counted"), F.col("within_std")))
     row = aggregate_with_quantiles(
         counted,
         [],

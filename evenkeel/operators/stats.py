@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.functions.hashing import number, seeded_hash
+from evenkeel.operators.groups import first_ranks, null_safe_join
 from evenkeel.operators.score import present
+from evenkeel.sources.stages import kept
 
-REPLICATES_PER_TASK = 50
+DRAWS = 1 << 14  # draws of one replicate that are made from one row
+BROADCAST_RANKS = 100_000  # rows of a rank table, of a few numbers each, that may be broadcast
 
 
 def model_means(aggregates: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -26,36 +28,55 @@ def model_means(aggregates: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _values(aggregates: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``model`` and the numeric columns, stored: what they are made of is computed once."""
+    cols = present(aggregates, columns)
+    rows = aggregates.filter(F.col("model").isNotNull())
+    return kept(rows.select("model", *[number(F.col(c)).alias(c) for c in cols]))
+
+
+def _rank_table(values: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``model, n, rank`` and the value of that rank of every column that has ``n`` values in its model."""
+    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in cols])).alias("cell")
+    long = values.select("model", cell).select("model", "cell.*").filter(F.col("value").isNotNull())
+    counted = long.groupBy("model", "metric", "value").agg(F.count(F.lit(1)).alias("copies"))
+    sizes = counted.groupBy("model", "metric").agg(F.sum("copies").alias("n"))
+    every = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("rank")
+    ranked = first_ranks(counted, ["model", "metric"]).select("model", "metric", "value", every)
+    return kept(
+        null_safe_join(ranked, sizes, ["model", "metric"])
+        .groupBy("model", "n", "rank")
+        .agg(*[F.max(F.when(F.col("metric") == c, F.col("value"))).alias(c) for c in cols])
+    )
+
+
 def _replicates_by_draw(values: DataFrame, cols: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """Mean of n draws with replacement per (model, replicate); draw i picks by md5 of its coordinates.
+    """Mean of n draws with replacement per (model, replicate); draw i picks a rank by md5 of its coordinates.
 
-    A model's sorted values travel as one array per chunk of replicates, so models and chunks run
-    in parallel and only (model, replicate) partial sums are shuffled.
+    Draws meet the rank table in an equi-join on (model, rank): a table of counted size is broadcast, a larger one
+    merged, which deals its draws evenly, because ranks are drawn evenly. Spark itself must not choose: it would take
+    the draws, whose number it cannot know, for the few rows that they are made from. Only (model, replicate) partial
+    sums are shuffled after it.
     """
-    spark = values.sparkSession
-    chunks = math.ceil(n_boot / REPLICATES_PER_TASK)
-    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks * 8)
-    arrays = values.groupBy("model").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in cols])
-    first = F.col("chunk") * REPLICATES_PER_TASK
-    drawn = (
-        arrays.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        .repartition(tasks, "model", "chunk")
-        .withColumn(
-            "replicate",
-            F.explode(
-                F.sequence(first, F.least(first + REPLICATES_PER_TASK, F.lit(n_boot)) - 1)
-            ),
-        )
-        .withColumn("draws", F.greatest(F.lit(1), *[F.size(c) for c in cols]))
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
-        .withColumn("pick", seeded_hash(seed, F.col("model"), F.col("replicate"), F.col("draw")))
+    ranks = _rank_table(values, cols)
+    held = F.broadcast(ranks) if ranks.count() <= BROADCAST_RANKS else ranks.hint("merge")
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.explode(F.sequence(F.lit(0), F.floor((F.array_max("sizes") - 1) / DRAWS))).alias("block")
+    first = F.col("block") * DRAWS
+    upto = F.least(first + DRAWS, F.array_max("sizes")) - 1
+    sizes = F.explode(F.filter("sizes", lambda n: n > F.col("draw"))).alias("n")  # as many as columns differ in size
+    draws = (
+        ranks.groupBy("model")
+        .agg(F.collect_set("n").alias("sizes"))
+        .select("model", "sizes", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+        .select("model", "sizes", "replicate", block)
+        .repartition(tasks, "model", "replicate", "block")
+        .select("model", "sizes", "replicate", F.explode(F.sequence(first, upto)).alias("draw"))
+        .select("model", "sizes", "replicate", "draw", seeded_hash(seed, F.col("model"), F.col("replicate"), F.col("draw")).alias("pick"))
+        .select("model", "replicate", "pick", sizes)
+        .select("model", "replicate", "n", (F.col("pick") % F.col("n")).alias("rank"))
     )
-
-    def picked(c: str) -> Column:
-        index = F.try_mod(F.col("pick"), F.size(c)).cast("int")
-        return F.when(F.col("draw") < F.size(c), F.get(F.col(c), index))
-
-    return drawn.groupBy("model", "replicate").agg(*[F.avg(picked(c)).alias(c) for c in cols])
+    return draws.join(held, ["model", "n", "rank"]).groupBy("model", "replicate").agg(*[F.avg(c).alias(c) for c in cols])
 
 
 def bootstrap_ci(
@@ -67,17 +88,19 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Percentile bootstrap interval of the mean per model, resampling questions.
 
-    No value gives null, one value gives (v, v). The same draws are made at every size: a model's values travel
-    as one array of eight bytes a question, so the number of questions per model is bounded by executor memory.
+    No value gives null, one value gives (v, v). The same draws are made at every size; a model's values are rows of
+    a rank table, so no task or row ever holds all of them.
     """
+    return _intervals(_values(aggregates, columns), present(aggregates, columns), n_boot, ci, seed)
+
+
+def _intervals(values: DataFrame, cols: Sequence[str], n_boot: int, ci: float, seed: int) -> DataFrame:
     if n_boot < 1 or not 0 < ci < 1:
         raise ValueError("n_boot must be at least 1 and ci inside (0, 1)")
-    cols = present(aggregates, columns)
-    rows = aggregates.filter(F.col("model").isNotNull())
-    values = rows.select("model", *[number(F.col(c)).alias(c) for c in cols])
     replicates = _replicates_by_draw(values, cols, n_boot, seed)
     bounds = [(1 - ci) / 2, (1 + ci) / 2]
-    intervals = replicates.groupBy("model").agg(*[F.percentile(c, bounds).alias(c) for c in cols])
+    known = values.select("model").distinct()
+    intervals = known.join(replicates, "model", "left").groupBy("model").agg(*[F.percentile(c, bounds).alias(c) for c in cols])
     return intervals.select(
         "model",
         *[
@@ -97,9 +120,8 @@ def model_summary(
 ) -> DataFrame:
     """One row per model: ``n_questions`` and mean, low, high of every column present."""
     cols = present(aggregates, columns)
-    joined = model_means(aggregates, cols).join(
-        bootstrap_ci(aggregates, cols, n_boot, ci, seed), "model", "left"
-    )
+    values = _values(aggregates, cols)
+    joined = model_means(values, cols).join(_intervals(values, cols, n_boot, ci, seed), "model", "left")
     return joined.select(
         "model", "n_questions", *[f"{c}_{part}" for c in cols for part in ("mean", "ci_low", "ci_high")]
     )

@@ -43,6 +43,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return os.path.join(root, f"run-{os.urandom(6).hex()}")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch directory and read again: computed once, whatever is made from it."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def committed(spark: SparkSession, path: str) -> bool:
     """Whether a Spark job finished writing ``path``, on whatever file system it is."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")

@@ -66,3 +66,41 @@ def test_pin_small_knows_its_size(spark):
     assert sorted(r.id for r in pinned.collect()) == list(range(50))
     assert "LocalTableScan" in pinned._jdf.queryExecution().executedPlan().toString()
     assert groups.pin_small(df, 10) is df
+
+
+@pytest.mark.parametrize("margin", [1e-3, 4e-3])
+def test_a_bracket_that_misses_is_widened(spark, margin, monkeypatch):
+    """A coarse sketch and brackets far too narrow: long ties, far ends, infinities, null keys; no miss is left."""
+    monkeypatch.setattr(groups, "SKETCH_ACCURACY", 3)
+    rounds, once = [], groups._bracketed
+    monkeypatch.setattr(groups, "_bracketed", lambda *a: rounds.append(a[3]) or once(*a))
+    rng = np.random.default_rng(3)
+    values = {
+        "steps": np.repeat(rng.normal(size=40), rng.integers(1, 400, 40)),
+        "far": np.concatenate([rng.normal(size=3000), 1e300 * rng.random(5), [float("inf")] * 3, [float("-inf")] * 2]),
+        None: 1e-12 * rng.normal(size=2500) + 1,
+    }
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    probs = [0.0, 0.003, 0.5, 0.77, 1.0]
+    got = {(r.k, r["quantile"]): r.value for r in groups.exact_quantiles(df, ["k"], ["x"], probs, margin).collect()}
+    assert len(rounds) > 1 and len(got) == len(values) * len(probs)
+    for (k, p), value in got.items():
+        ordered = np.sort(values[k])
+        at = (len(ordered) - 1) * p
+        low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        assert value == pytest.approx(low if low == high else low + (at - np.floor(at)) * (high - low), rel=1e-12)
+
+
+def test_first_ranks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v), int(c)) for g in ("a", None) for v, c in zip(rng.permutation(900), rng.integers(1, 9, 900))]
+    df = spark.createDataFrame(rows, "g string, value double, copies long").repartition(3)
+    got = sorted((tuple(r) for r in groups.first_ranks(df, ["g"], 7).collect()), key=str)
+    expected = []
+    for g in ("a", None):
+        total = 0
+        for _, v, c in sorted(r for r in rows if r[0] == g):
+            expected.append((g, v, c, total))
+            total += c
+    assert got == sorted(expected, key=str)

@@ -189,3 +189,23 @@ def test_run_without_any_score_can_be_resumed(spark, tmp_path):
         with pytest.raises(RuntimeError):
             judge_answers(df, logging_judge(log, broken, reply), out, resume=True)
     assert {r.judge_score for r in judge_answers(df, logging_judge(log), out, resume=True).collect()} == {0.5}
+
+
+def test_icc_of_scores_that_lie_close_together(spark):
+    """0.5 + 1e-9 i + 1e-10 p: the shares of variance against exact arithmetic."""
+    from fractions import Fraction
+
+    rows = [(f"r{i}", p, 0.5 + 1e-9 * i + 1e-10 * p) for i in range(40) for p in range(5 if i % 3 else 4)]
+    by = {}
+    for r, _, x in rows:
+        by.setdefault(r, []).append(Fraction(x))
+    n, total = len(by), sum(map(len, by.values()))
+    grand = sum(sum(v) for v in by.values()) / total
+    means = {r: sum(v) / len(v) for r, v in by.items()}
+    between = sum(len(v) * (means[r] - grand) ** 2 for r, v in by.items()) / (n - 1)
+    within = sum((x - means[r]) ** 2 for r, v in by.items() for x in v) / (total - n)
+    exact = (between - within) / (between + (Fraction(total, n) - 1) * within)
+    long = spark.createDataFrame(rows, "response_idx string, pass_index int, judge_score double")
+    assert judge.icc1(long).first().icc1 == pytest.approx(float(exact), abs=1e-6)
+    summary = judge.judge_summary(long).first()
+    assert summary.icc1 == pytest.approx(float(exact), abs=1e-6) and (summary.n_responses, summary.passes) == (40, 5)

@@ -68,6 +68,30 @@ def test_random_pairs_against_plain_definitions(spark):
         assert r.string_similarity == pytest.approx(SequenceMatcher(None, a, b).ratio(), abs=1e-12)
 
 
+def test_long_and_mixed_pairs_in_one_batch(spark):
+    """Gold texts of one word of 64 bits up to more than the vectorised width, beside missing and empty ones."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    pairs = []
+    for size in (0, 1, 63, 64, 65, 127, 128, 129, 300, 511, 513, 1023, 1024, 1025, 1400):
+        gold = [rng.choice(words) for _ in range(size)]
+        for _ in range(3):
+            cut = [w for w in gold if rng.random() > 0.2]
+            half = len(cut) // 2
+            pairs += [(" ".join(cut), " ".join(gold)), (" ".join(cut[half:] + cut[:half] + ["other"]), " ".join(gold)), (" ".join(cut[:5]), " ".join(gold))]
+    rng.shuffle(pairs)
+    pairs += [(None, "a b"), ("a b", None), (None, None), ("", "")]
+    got = scored(spark, pairs)
+    for i, (a, b) in enumerate(pairs):
+        r = got[f"q{i}"]
+        if a is None or b is None:
+            assert (r.token_f1, r.rouge_l, r.bleu) == (None, None, None)
+            continue
+        assert r.token_f1 == pytest.approx(plain_token_f1(a, b), abs=1e-12)
+        assert r.rouge_l == pytest.approx(plain_lcs(a, b), abs=1e-12)
+        assert r.bleu == pytest.approx(plain_bleu(a, b), abs=1e-12)
+
+
 def test_edges(spark):
     long_gold = "x" + "ab" * 99
     pairs = [
