@@ -61,7 +61,7 @@ def read_gold_csv(spark, sf_dir):
 def read_gold_markdown(spark, sf_dir):
     path = stages.scratch_dir(spark)
     cells = [
-        F.replace(c, F.lit("\n"), F.lit(" "))
+        F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))
         for c in (F.col("id"), F.col("question"), F.col("gold_answer"), F.col("category"))
     ]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))

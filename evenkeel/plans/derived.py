@@ -1,8 +1,9 @@
 """Evaluation tables derived from the given chat, document and vector tables.
 
-Every user turn with an assistant reply is a question with a gold answer. Five models answer each question ten
-times with a run of words of the gold answer that depends on a hash, so answers repeat, differ, miss and fail
-to parse in known proportions.
+Every user turn is a question; the assistant's next turn is its gold answer, which is missing where there is none. Five
+models answer each question ten times with words of the gold answer (of the question, where that is missing) that depend
+on a hash, so answers repeat, differ, miss and fail to parse in known proportions. Most are a short run of words; one in
+nine is long: the whole text with every seventh word dropped, or with its halves swapped.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold_answer")
     )
-    return asked.join(replies, ["conv_id", "turn"]).select(
+    return asked.join(replies, ["conv_id", "turn"], "left").select(
         F.concat(F.lit("c"), "conv_id", F.lit("t"), "turn").alias("id"),
         "question",
         "gold_answer",
@@ -47,11 +48,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = request_grid(MODELS, questions(spark, sf_dir), base_seed=42).drop("system")
     h, k = F.col("h"), F.col("k")
-    words = F.split("gold_answer", " ")
-    body = F.concat(
+    words = F.split(F.coalesce("gold_answer", "question"), " ")
+    half = (F.size(words) / 2).cast("int")
+    body = F.when(h % 18 == 4, F.filter(words, lambda w, i: i % 7 != 6)).when(
+        h % 18 == 13, F.concat(F.slice(words, half + 1, F.size(words)), F.slice(words, F.lit(1), half))
+    ).otherwise(F.concat(
         F.slice(words, F.when(h % 4 == 0, 2).otherwise(1), k.cast("int")),
         F.when(h % 6 == 1, F.slice(words, 1, 2)).otherwise(F.array().cast("array<string>")),
-    )
+    ))
     text = F.concat(F.array_join(body, " "), F.when(h % 5 == 0, ".").otherwise(""))
     digit = (h % 10).cast("string")
     reply = (

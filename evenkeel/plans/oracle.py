@@ -43,17 +43,19 @@ def literal(x: str) -> str:
 
 QA = """qa AS (
   SELECT 'c' || u.conv_id || 't' || u.turn AS id, u.conv_id, u.turn, u.text AS question, a.text AS gold_answer
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')"""
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
 
 ANSWERS = f"""{QA}, cells AS (
   SELECT 'm' || m AS model, m, id AS question_id, r::INTEGER AS run_index, question, gold_answer,
-         {draw("7", "'m' || m", "id", "r")} AS h, string_split(gold_answer, ' ') AS w
+         {draw("7", "'m' || m", "id", "r")} AS h, string_split(coalesce(gold_answer, question), ' ') AS w
   FROM qa, range(1, 6) t(m), range(0, 10) s(r)), sized AS (
   SELECT *, 4 + h % (3 * m) AS k, CASE WHEN h % 4 = 0 THEN 2 ELSE 1 END AS st FROM cells), answers AS (
   SELECT model, question_id, run_index, question, gold_answer, h,
     CASE WHEN h % 101 = 0 THEN NULL WHEN h % 103 = 0 THEN ''
-         ELSE array_to_string(list_concat(w[st:st + k - 1], CASE WHEN h % 6 = 1 THEN w[1:2] ELSE [] END), ' ')
+         ELSE array_to_string(CASE h % 18 WHEN 4 THEN list_filter(w, lambda x, i: (i - 1) % 7 <> 6)
+             WHEN 13 THEN list_concat(w[len(w) // 2 + 1:], w[1:len(w) // 2])
+             ELSE list_concat(w[st:st + k - 1], CASE WHEN h % 6 = 1 THEN w[1:2] ELSE [] END) END, ' ')
               || CASE WHEN h % 5 = 0 THEN '.' ELSE '' END END AS response_text,
     CASE WHEN h % 83 <> 0 THEN k END AS eval_count,
     CASE WHEN h % 97 = 0 THEN 0 WHEN h % 89 = 0 THEN NULL ELSE (200 + h % 4000) * 1000000 END AS total_duration,
@@ -243,10 +245,10 @@ ICC = """parts AS (
 RETRY = literal(f"{judge.DEFAULT_RUBRIC}\n\n{judge.RETRY_FORMAT}\n\nQUESTION: ")
 PROMPTS = f"""prompts AS (
   SELECT *, {literal(judge.LEAD_IN)} || '{{"instructions": ' || to_json({literal(judge.DEFAULT_RUBRIC)})::VARCHAR
-    || ', "question": ' || to_json(question)::VARCHAR || ', "gold_answer": ' || to_json(gold_answer)::VARCHAR
+    || ', "question": ' || to_json(question)::VARCHAR || ', "gold_answer": ' || to_json(coalesce(gold_answer, 'nan'))::VARCHAR
     || ', "model_answer": ' || to_json(coalesce(response_text, 'nan'))::VARCHAR
     || ', "output_format": {judge.OUTPUT_FORMAT}}}' AS judge_prompt,
-    {RETRY} || question || chr(10) || 'GOLD_ANSWER: ' || gold_answer || chr(10) || 'MODEL_ANSWER: '
+    {RETRY} || question || chr(10) || 'GOLD_ANSWER: ' || coalesce(gold_answer, 'nan') || chr(10) || 'MODEL_ANSWER: '
     || coalesce(response_text, 'nan') || chr(10) AS judge_fallback
   FROM answers), asked AS (
   SELECT *, ('0x' || substr(md5(judge_prompt), 1, 8))::BIGINT AS hp,
@@ -291,7 +293,7 @@ def queries() -> dict[str, str]:
         # sources and sinks
         "read_gold_csv": f"WITH {QA} SELECT 'q' || {qa_list} AS id, question, gold_answer, '' AS category FROM qa",
         "read_gold_markdown": f"""WITH {QA} SELECT id, {strip("replace(question, chr(10), ' ')")} AS question,
-            {strip("replace(gold_answer, chr(10), ' ')")} AS gold_answer, '' AS category FROM qa""",
+            {strip("replace(coalesce(gold_answer, ''), chr(10), ' ')")} AS gold_answer, '' AS category FROM qa""",
         "normalize_qa_source": f"""SELECT {strip("question")} AS question, {strip("answer")} AS answer,
             'MedicationQA' AS source, focus || ' | ' || kind AS focus_area FROM (
             SELECT CASE WHEN turn % 3 = 0 THEN ' ' || text || chr(10) ELSE text END AS question,
