@@ -1,8 +1,10 @@
 """Greedy token-vector matching (Zhang et al. 2020) and the encoder surface.
 
 The encoder is the caller's: ``factory()`` is called once per task and returns ``encode(list[str])`` giving one
-(tokens × dim) array per text. Vectors are made where they are used and never shuffled: a 512-token answer is
-about 1.5 MB as vectors and 3 kB as text.
+(tokens × dim) array per text. There are two ways to match. Vectors are made where they are used and never shuffled (a
+512-token answer is about 1.5 MB as vectors and 3 kB as text), at the price of encoding a text in every task that meets
+it; or a committed store holds the vectors of every distinct text by its fingerprint, and distinct pairs meet them in
+joins. The store pays where the encoder is dear and several operators need the same texts, as in a whole evaluation.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evenkeel.functions.hashing import fingerprint
+from evenkeel.sources.stages import committed
+
 Encoder = Callable[[Sequence[str]], Sequence[np.ndarray]]
 MATCH_SCHEMA = "precision double, recall double, f1 double"
 
@@ -152,3 +157,32 @@ def encode(df: DataFrame, text_col: str, factory: Callable[[], Encoder], batch_s
 
     texts = df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).distinct()
     return texts.mapInPandas(run, "text string, vectors array<array<float>>")
+
+
+def store_vectors(texts: DataFrame, factory: Callable[[], Encoder], path: str, batch_size: int = 8) -> DataFrame:
+    """``print, vectors`` of every distinct non-null ``texts(text)``, committed in ``path``; each text is encoded once.
+
+    A committed store is added to: only texts it lacks are encoded, into a part of its own.
+    """
+    spark, part = texts.sparkSession, 0
+    while committed(spark, f"{path}/part-{part}"):
+        part += 1
+    wanted = texts.select("text").withColumn("print", fingerprint(F.col("text")))
+    paths = [f"{path}/part-{i}" for i in range(part)]
+    if paths:
+        wanted = wanted.join(spark.read.parquet(*paths).select("print"), "print", "left_anti")
+    made = encode(wanted, "text", factory, batch_size).select(fingerprint(F.col("text")).alias("print"), "vectors")
+    made.write.mode("overwrite").parquet(f"{path}/part-{part}")
+    return spark.read.parquet(*paths, f"{path}/part-{part}")
+
+
+def match_stored(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """``cand, ref, precision, recall, f1`` of the distinct ``pairs(cand, ref)`` of text fingerprints.
+
+    Repeated pairs are matched once, combined before the shuffle; a pair with a missing side has no row.
+    """
+    distinct = pairs.select("cand", "ref").dropna().distinct()
+    sides = [store.select(F.col("print").alias(side), F.col("vectors").alias(f"{side}_vectors")) for side in ("cand", "ref")]
+    joined = distinct.join(sides[0], "cand").join(sides[1], "ref")
+    matched = joined.select("cand", "ref", match_vectors(F.col("cand_vectors"), F.col("ref_vectors")).alias("m"))
+    return matched.select("cand", "ref", "m.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.functions import pairs, text, vectors
-from evenkeel.functions.hashing import number
+from evenkeel.functions.hashing import fingerprint, number
 
 METRICS = (
     "exact_match",
@@ -98,11 +98,20 @@ def score_semantic(
     factory: Callable[[], vectors.Encoder],
     batch_size: int = 8,
     missing_text: str | None = None,
+    store: DataFrame | None = None,
 ) -> DataFrame:
     """Embedding-match precision, recall and F1 of the RAW response against the RAW gold answer.
 
-    Rows are sorted by question inside each partition (no shuffle) so that a gold answer is encoded once.
+    Rows are sorted by question inside each partition (no shuffle) so that a gold answer is encoded once. With a
+    ``store`` of vectors nothing is encoded: distinct pairs are matched from it and joined back by fingerprint.
     """
+    if store is not None:
+        texts = {"_cand": "response_text", "_ref": "gold_answer"}
+        marked = df.withColumns({k: fingerprint(text.with_policy(F.col(c), missing_text)) for k, c in texts.items()})
+        found = vectors.match_stored(marked.select(F.col("_cand").alias("cand"), F.col("_ref").alias("ref")), store)
+        parts = [F.col(part).alias(f"bertscore_{part}") for part in ("precision", "recall", "f1")]
+        known = found.select(F.col("cand").alias("_cand"), F.col("ref").alias("_ref"), *parts)
+        return marked.join(known, ["_cand", "_ref"], "left").drop("_cand", "_ref")
     raw = [text.with_policy(F.col(c), missing_text) for c in ("response_text", "gold_answer")]
     matched = df.sortWithinPartitions("question_id").withColumn(
         "_match", vectors.match_texts(*raw, factory, batch_size)
@@ -117,7 +126,8 @@ def score_responses(
     factory: Callable[[], vectors.Encoder] | None = None,
     batch_size: int = 8,
     missing_text: str | None = None,
+    store: DataFrame | None = None,
 ) -> DataFrame:
     """Every deterministic column of the scored table; the embedding match only with an encoder."""
     out = score_lexical(with_performance(df), missing_text=missing_text)
-    return out if factory is None else score_semantic(out, factory, batch_size, missing_text)
+    return out if factory is None else score_semantic(out, factory, batch_size, missing_text, store)

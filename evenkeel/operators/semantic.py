@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evenkeel.functions.hashing import seeded_hash
+from evenkeel.functions.hashing import fingerprint, seeded_hash
 from evenkeel.functions.text import with_policy
-from evenkeel.functions.vectors import Encoder, match_run_pairs
-from evenkeel.operators.groups import first_k_by_hash
+from evenkeel.functions.vectors import Encoder, match_run_pairs, match_stored
+from evenkeel.operators.groups import first_k_by_hash, null_safe_join
 from evenkeel.operators.repro import GROUP
 
 MAX_PAIRS = 45
@@ -114,11 +114,25 @@ def semantic_repro(
     seed: int = 42,
     batch_size: int = 8,
     missing_text: str | None = None,
+    store: DataFrame | None = None,
 ) -> DataFrame:
     """Mean, population std and count of pair F1 per (model, question).
 
-    A group of one run stays, with nulls and 0; the std needs at least two pairs.
+    A group of one run stays, with nulls and 0; the std needs at least two pairs. With a ``store`` of vectors nothing is
+    encoded: the distinct pairs of texts are matched from it.
     """
+    if store is not None:
+        pairs = run_pairs(df, max_pairs, seed, missing_text).select(
+            *GROUP, fingerprint(F.col("text_i")).alias("cand"), fingerprint(F.col("text_j")).alias("ref")
+        )
+        matched = pairs.join(match_stored(pairs, store), ["cand", "ref"], "left")
+        found = matched.groupBy(*GROUP).agg(
+            F.avg("f1").alias("semantic_self_similarity_mean"),
+            F.when(F.count("f1") > 1, F.stddev_pop("f1")).alias("semantic_self_similarity_std"),
+            F.count("f1").alias("n_semantic_pairs"),
+        )
+        every = df.dropna(subset=list(GROUP)).select(*GROUP).distinct()
+        return null_safe_join(every, found, GROUP, "left").na.fill(0, ["n_semantic_pairs"])
     scored = _grouped_runs(df, max_pairs, seed, missing_text).withColumn(
         "f1", F.filter(match_run_pairs(F.col("runs.text"), F.col("pairs"), factory, batch_size), lambda x: x.isNotNull())
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evenkeel.functions import render, text, vectors
 from evenkeel.operators import compare, grid, judge, report, repro, score, semantic, stats
@@ -17,6 +17,7 @@ from evenkeel.streaming import ingest
 Query = Callable[[SparkSession, str], DataFrame]
 CELL = ("model", "question_id", "run_index")
 RAW = (*CELL, "response_text", "eval_count", "total_duration")
+SEMANTIC = ("semantic_self_similarity_mean", "semantic_self_similarity_std", "n_semantic_pairs")
 CATALOG: dict[str, Query] = {}
 
 
@@ -30,6 +31,12 @@ def r9(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """An ordered report with the place of every row, which a comparison of row sets can see."""
+    at = df.withColumn("_at", F.monotonically_increasing_id())
+    return at.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
 def _f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.scored(spark, sf_dir, ("exact_match", "normalized_exact_match", "token_f1"))
 
@@ -157,11 +164,16 @@ def write_judge_reliability(spark, sf_dir):
     path = stages.scratch_dir(spark)
     long = derived.judge_passes(spark, sf_dir)
     stages.write_judge_reliability(long, judge.judge_summary(long), path)
-    return stages.read_csv(
-        spark,
-        f"{path}/judge_reliability_scores.csv",
-        "response_idx string, model string, question_id string, pass_index int, judge_score double, judge_text string",
-    )
+    kinds = {
+        "scores": "response_idx string, model string, question_id string, pass_index int, judge_score double, judge_text string",
+        "summary": "passes double, n_responses double, mean_within_response_std double, "
+        "median_within_response_std double, icc1 double",
+    }
+    back = [
+        stages.read_csv(spark, f"{path}/judge_reliability_{kind}.csv", shape).withColumn("kind", F.lit(kind))
+        for kind, shape in kinds.items()
+    ]
+    return r9(back[0].unionByName(back[1], allowMissingColumns=True))
 
 
 @query
@@ -205,9 +217,9 @@ def with_response_len(spark, sf_dir):
 
 @query
 def usable_rows(spark, sf_dir):
-    docs = derived.table(spark, sf_dir, "documents")
-    both = [text.strip(F.col(c)) for c in ("text", "source")]
-    return docs.filter(questions.usable(*both)).select("doc_id")
+    asked = derived.questions(spark, sf_dir)
+    both = [text.strip(F.col(c)) for c in ("question", "gold_answer")]
+    return asked.filter(questions.usable(*both)).select("id")
 
 
 # --- joins -----------------------------------------------------------------------------------------------
@@ -229,15 +241,10 @@ def pending_requests(spark, sf_dir):
 
 @query
 def attach_semantic(spark, sf_dir):
-    rows = derived.answers(spark, sf_dir).withColumn(
-        "judge_score", text.parse_judge_score(F.col("judge_text"))
-    )
-    side = rows.filter("model <> 'm5'").groupBy("model", "question_id").agg(
-        F.count("judge_score").alias("n_semantic_pairs")
-    )
-    return repro.attach_semantic(repro.run_stats(rows), side).select(
-        "model", "question_id", "n_runs", "n_semantic_pairs"
-    )
+    """The semantic table lacks one model, whose rows stay with missing columns."""
+    rows = derived.answers(spark, sf_dir)
+    side = semantic.semantic_repro(rows.filter("model <> 'm5'"), derived.hash_encoder, PAIR_BUDGET)
+    return r9(repro.attach_semantic(repro.run_stats(rows), side).select("model", "question_id", "n_runs", *SEMANTIC))
 
 
 @query
@@ -275,7 +282,10 @@ def self_agreement(spark, sf_dir):
 
 @query
 def compute_aggregates(spark, sf_dir):
-    return r9(repro.compute_aggregates(_f1(spark, sf_dir)))
+    """Nine metrics (string similarity has no SQL) and the semantic columns."""
+    rows = score.score_semantic(derived.scored(spark, sf_dir), derived.hash_encoder, batch_size=64)
+    similar = semantic.semantic_repro(derived.answers(spark, sf_dir), derived.hash_encoder, PAIR_BUDGET)
+    return r9(repro.compute_aggregates(rows, similar))
 
 
 @query
@@ -295,12 +305,12 @@ def model_summary(spark, sf_dir):
 
 @query
 def quality_by_model(spark, sf_dir):
-    return r9(report.quality_by_model(derived.scored(spark, sf_dir)))
+    return r9(placed(report.quality_by_model(derived.scored(spark, sf_dir))))
 
 
 @query
 def reproducibility_by_model(spark, sf_dir):
-    return r9(report.reproducibility_by_model(_agg(spark, sf_dir)))
+    return r9(placed(report.reproducibility_by_model(_agg(spark, sf_dir))))
 
 
 @query
@@ -310,12 +320,12 @@ def reproducibility_by_model_question(spark, sf_dir):
 
 @query
 def global_uniqueness(spark, sf_dir):
-    return r9(report.global_uniqueness(derived.answers(spark, sf_dir)))
+    return r9(placed(report.global_uniqueness(derived.answers(spark, sf_dir))))
 
 
 @query
 def performance_by_model(spark, sf_dir):
-    return r9(report.performance_by_model(score.with_performance(derived.answers(spark, sf_dir))))
+    return r9(placed(report.performance_by_model(score.with_performance(derived.answers(spark, sf_dir)))))
 
 
 @query
@@ -365,7 +375,7 @@ def group_ratio(spark, sf_dir):
 
 @query
 def least_reproducible(spark, sf_dir):
-    return r9(report.least_reproducible(_agg(spark, sf_dir)))
+    return r9(placed(report.least_reproducible(_agg(spark, sf_dir))))
 
 
 @query
@@ -549,11 +559,11 @@ def _land_twice(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
 def stream_responses(spark, sf_dir):
     landing, out, checkpoint = _land_twice(spark, sf_dir)
     ingest.stream_responses(spark, landing, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).select(*RAW)
+    return ingest.read_landed(spark, out).select(*RAW)
 
 
 @query
 def stream_progress(spark, sf_dir):
     landing, out, checkpoint = _land_twice(spark, sf_dir)
     ingest.stream_progress(spark, landing, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    return ingest.read_progress(spark, out)

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from evenkeel.functions.vectors import Encoder
+from evenkeel.functions.text import with_policy
+from evenkeel.functions.vectors import Encoder, store_vectors
 from evenkeel.operators import compare, grid, judge, report, repro, score, semantic, stats
 from evenkeel.sources import stages
 from evenkeel.sources.questions import sample_questions
@@ -208,9 +209,17 @@ def evaluate(
 ) -> dict[str, DataFrame]:
     """run → judge → score → report; with ``resume`` finished stages are read back instead of run again.
 
-    ``raw_jsonl`` and ``raw_csv`` write the raw answers in those formats too, from the committed table.
+    ``raw_jsonl`` and ``raw_csv`` write the raw answers in those formats too, from the committed table. Each distinct
+    text is encoded once, into a committed store that scoring and run similarity read.
     """
     spark = questions.sparkSession
+
+    def vectors_of(rows: DataFrame) -> DataFrame | None:
+        if encoder is None:
+            return None
+        both = F.explode(F.array(*[with_policy(F.col(c), missing_text) for c in ("response_text", "gold_answer")]))
+        return store_vectors(rows.select(both.alias("text")), encoder, f"{out_dir}/vectors", batch_size)
+
     if not (resume and stages.stage_exists(spark, out_dir, stages.SCORED)):
         chosen = sample_questions(questions, head, random, sample_seed)
         answers = collect_answers(
@@ -221,7 +230,7 @@ def evaluate(
         raw = stages.read_stage(spark, out_dir, stages.RAW)
         if raw_jsonl or raw_csv:
             stages.write_responses(raw, out_dir, jsonl=raw_jsonl, parquet=False, csv=raw_csv)
-        scored = score.score_responses(raw, encoder, batch_size, missing_text)
+        scored = score.score_responses(raw, encoder, batch_size, missing_text, vectors_of(raw))
         if judge_factory is None:
             scored = judge.apply_judge(scored, None, rubric, enabled=False)
         else:  # audited before the stage is committed, so a run whose replies all failed can be resumed
@@ -232,7 +241,8 @@ def evaluate(
     if not (resume and stages.stage_exists(spark, out_dir, stages.AGGREGATES)):
         similar = None
         if encoder is not None:
-            similar = semantic.semantic_repro(scored, encoder, max_pairs, seed, batch_size, missing_text)
+            store = vectors_of(scored)
+            similar = semantic.semantic_repro(scored, encoder, max_pairs, seed, batch_size, missing_text, store)
         stages.write_stage(
             repro.compute_aggregates(scored, similar, missing_text), out_dir, stages.AGGREGATES, csv=True
         )

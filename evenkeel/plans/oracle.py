@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from evenkeel.operators import judge
 
 # The white-space class of functions/text.py in RE2 spelling.
@@ -212,10 +214,10 @@ def run_pairs(budget: int = PAIR_BUDGET, seed: int = 42) -> str:
   JOIN ordered b ON b.model = p.model AND b.question_id = p.question_id AND b.at = tj.at)"""
 
 
-def text_match(pairs: str, left: str, right: str) -> str:
+def text_match(pairs: str, left: str, right: str, tag: str = "") -> str:
     """Greedy matching of the md5-digit vectors of the space-separated tokens of two text columns."""
     digit = "('0x' || substr(md5(tok), d, 1))::INTEGER - 7.5::DOUBLE"
-    return f"""texts2 AS (SELECT DISTINCT {left} AS x, {right} AS y FROM {pairs} WHERE {left} IS NOT NULL AND {right} IS NOT NULL),
+    made = f"""texts2 AS (SELECT DISTINCT {left} AS x, {right} AS y FROM {pairs} WHERE {left} IS NOT NULL AND {right} IS NOT NULL),
   words AS (SELECT DISTINCT unnest(list_concat({tokens('x')}, {tokens('y')})) AS tok FROM texts2), vecs AS (
   SELECT tok, list({digit} ORDER BY d) AS v FROM words, range(1, 9) r(d) GROUP BY tok), lx AS (
   SELECT x, y, unnest({tokens('x')}) AS tx FROM texts2), ly AS (
@@ -228,6 +230,8 @@ def text_match(pairs: str, left: str, right: str) -> str:
   matched AS (SELECT x, y, coalesce(p, 0)::DOUBLE AS p, coalesce(r, 0)::DOUBLE AS r,
     CASE WHEN coalesce(p, 0) + coalesce(r, 0) = 0 THEN 0::DOUBLE ELSE 2 * p * r / (p + r) END AS f1
   FROM texts2 LEFT JOIN px USING (x, y) LEFT JOIN py USING (x, y))"""
+    names = ("texts2", "words", "vecs", "lx", "ly", "cos", "px", "py", "matched")
+    return re.sub(rf"\b({'|'.join(names)})\b", rf"\1{tag}", made)
 
 
 PASSES = f"""{ANSWERS}, long AS (
@@ -276,6 +280,12 @@ def replies(runs: int, models: int = 5) -> str:
     (200 + h % 4000) * 1000000 AS total_duration, 2 + h % 4 AS eval_count FROM calls)"""
 
 
+SEMANTIC = """semantic AS (SELECT model, question_id, avg(f1) AS sm, CASE WHEN count(f1) > 1 THEN stddev_pop(f1) END AS ss,
+  count(f1) AS n_semantic_pairs FROM chosen LEFT JOIN matched ON x = text_i AND y = text_j GROUP BY ALL)"""
+SEMANTIC_COLUMNS = f"""{r9('sm', 'semantic_self_similarity_mean')}, {r9('ss', 'semantic_self_similarity_std')}, n_semantic_pairs"""
+BERT = ("bertscore_precision", "bertscore_recall", "bertscore_f1")
+
+
 def similarity() -> str:
     return f"""{NORMED}, sim AS (
   SELECT a.model AS model_a, b.model AS model_b, avg((a.nr = b.nr)::INTEGER) AS similarity
@@ -308,8 +318,11 @@ def queries() -> dict[str, str]:
         "write_scored": f"""WITH {SCORED_F1} SELECT model, question_id, run_index, response_text,
             {r9('token_f1')}, {r9('exact_match')} FROM scored""",
         "write_aggregates": f"""WITH {NORMED}, {RUNS} SELECT model, question_id, {RUN_COLUMNS} FROM run_stats""",
-        "write_judge_reliability": f"""WITH {ANSWERS} SELECT model || '|' || question_id AS response_idx, model, question_id,
-            run_index AS pass_index, {parsed('judge_text')} AS judge_score, judge_text FROM answers""",
+        "write_judge_reliability": f"""WITH {PASSES}, {ICC} SELECT 'scores' AS kind, *, NULL::DOUBLE AS passes, NULL::DOUBLE AS n_responses,
+              NULL::DOUBLE AS mean_within_response_std, NULL::DOUBLE AS median_within_response_std, NULL::DOUBLE AS icc1 FROM (SELECT model || '|' || question_id AS response_idx, model, question_id,
+            run_index AS pass_index, {parsed('judge_text')} AS judge_score, judge_text FROM answers)
+            UNION ALL SELECT 'summary', NULL, NULL, NULL, NULL, NULL, NULL, 10.0, count(*), {r9('avg(within_std)', 'a')},
+              {r9('median(within_std)', 'b')}, (SELECT round(icc1, 9) FROM icc) FROM good""",
         "export_sample": f"WITH {QA} SELECT id, question, gold_answer FROM qa ORDER BY {draw('42', 'id')}, id LIMIT 50",
         # projections and filters
         "head_sample": f"WITH {QA} SELECT id, question FROM qa ORDER BY conv_id, turn LIMIT 25",
@@ -318,14 +331,14 @@ def queries() -> dict[str, str]:
             {r9('tokens_per_second')} FROM (SELECT *, {PERFORMANCE} FROM answers)""",
         "with_normalized": f"WITH {NORMED} SELECT model, question_id, run_index, nr AS normalized_response, ng AS normalized_gold FROM normed",
         "with_response_len": f"WITH {ANSWERS} SELECT model, question_id, run_index, length(response_text) AS response_len FROM answers",
-        "usable_rows": f"""SELECT doc_id FROM documents WHERE {strip('text')} <> '' AND {strip('source')} <> ''""",
+        "usable_rows": f"""WITH {QA} SELECT id FROM qa WHERE {strip('question')} <> '' AND {strip('gold_answer')} <> ''""",
         # joins
         "request_grid": f"""WITH {REQUESTS} SELECT model, 'ollama' AS provider, question_id, question, gold_answer,
             '' AS category, run_index, seed, 'Be brief.' AS system FROM grid""",
         "pending_requests": f"""WITH {ANSWERS} SELECT model, question_id, run_index FROM answers WHERE h % 3 = 0""",
-        "attach_semantic": f"""WITH {NORMED}, {RUNS}, side AS (
-            SELECT model, question_id, count(judge_score) AS n_semantic_pairs FROM normed WHERE model <> 'm5' GROUP BY ALL)
-            SELECT model, question_id, n_runs, n_semantic_pairs FROM run_stats LEFT JOIN side USING (model, question_id)""",
+        "attach_semantic": f"""WITH {NORMED}, {RUNS}, {run_pairs()}, {text_match('chosen', 'text_i', 'text_j')}, {SEMANTIC}
+            SELECT r.model, r.question_id, n_runs, {SEMANTIC_COLUMNS}
+            FROM run_stats r LEFT JOIN semantic s ON s.model = r.model AND s.question_id = r.question_id AND r.model <> 'm5'""",
         "pairwise_model_similarity": f"WITH {similarity()} SELECT model_a, model_b, {r9('similarity')} FROM sim",
         "run_pairs": f"WITH {ANSWERS}, {run_pairs()} SELECT * FROM chosen",
         # aggregations
@@ -335,9 +348,14 @@ def queries() -> dict[str, str]:
             {r9('normalized_response_uniqueness_rate')} FROM run_stats""",
         "self_agreement": f"""WITH {NORMED}, {RUNS} SELECT model, question_id, n_runs, modal_normalized_response_count,
             {r9('normalized_self_agreement_rate')} FROM run_stats""",
-        "compute_aggregates": f"""WITH {agg} SELECT * FROM (
-            SELECT model, question_id, {stats(F1_METRICS)} FROM scored GROUP BY ALL) JOIN (
-            SELECT model, question_id, {RUN_COLUMNS} FROM run_stats) USING (model, question_id)""",
+        "compute_aggregates": f"""WITH {SCORED}, {RUNS}, {run_pairs()}, {text_match('chosen', 'text_i', 'text_j')}, {SEMANTIC},
+            {text_match('answers', 'response_text', 'gold_answer', '_g')}, all_scored AS (
+            SELECT scored.*, p AS bertscore_precision, r AS bertscore_recall, f1 AS bertscore_f1
+            FROM scored LEFT JOIN matched_g ON x = response_text AND y = gold_answer)
+            SELECT * FROM (
+            SELECT model, question_id, {stats((*METRICS, *BERT))} FROM all_scored GROUP BY ALL) JOIN (
+            SELECT model, question_id, {RUN_COLUMNS} FROM run_stats) USING (model, question_id) LEFT JOIN (
+            SELECT model, question_id, {SEMANTIC_COLUMNS} FROM semantic) USING (model, question_id)""",
         "model_means": f"""WITH {NORMED}, {RUNS} SELECT model, count(*) AS n_questions,
             {', '.join(r9(f'avg({c})', f'{c}_mean') for c in REPRO_COLUMNS)} FROM run_stats GROUP BY model""",
         "bootstrap_ci": f"""WITH {NORMED}, {RUNS}, {bootstrap('run_stats', REPRO_COLUMNS)} SELECT model,
@@ -346,19 +364,23 @@ def queries() -> dict[str, str]:
             SELECT model, n_questions, {summary_columns(QUALITY_COLUMNS)} FROM summary""",
         "quality_by_model": f"""WITH {SCORED} SELECT model, {', '.join(r9(f'{f}({m})', f'{m}_{s}')
             for s, f in (('avg', 'avg'), ('median', 'median'))
-            for m in METRICS if m != 'normalized_exact_match')} FROM scored GROUP BY model""",
-        "reproducibility_by_model": f"""WITH {NORMED}, {RUNS} SELECT model, {', '.join(r9(f'avg({c})', c)
-            for c in REPRO_COLUMNS)} FROM run_stats GROUP BY model""",
+            for m in METRICS if m != 'normalized_exact_match')},
+            row_number() OVER (ORDER BY avg(token_f1) DESC NULLS LAST, model)::INTEGER AS place FROM scored GROUP BY model""",
+        "reproducibility_by_model": f"""WITH {NORMED}, {RUNS} SELECT model, {', '.join(r9(f'avg({c})', c) for c in REPRO_COLUMNS)},
+            row_number() OVER (ORDER BY avg(normalized_self_agreement_rate) DESC NULLS LAST, model)::INTEGER AS place
+            FROM run_stats GROUP BY model""",
         "reproducibility_by_model_question": f"""WITH {NORMED}, {RUNS} SELECT model, question_id, n_runs,
             {', '.join(r9(c) for c in REPRO_COLUMNS)} FROM run_stats""",
         "global_uniqueness": f"""WITH {NORMED} SELECT model, count(response_text) AS total_outputs,
             count(DISTINCT response_text) AS unique_outputs, count(DISTINCT nr) AS unique_normalized_outputs,
             round(count(DISTINCT response_text)::DOUBLE / count(response_text), 9) AS global_response_uniqueness_rate,
-            round(count(DISTINCT nr)::DOUBLE / count(response_text), 9) AS global_normalized_uniqueness_rate
+            round(count(DISTINCT nr)::DOUBLE / count(response_text), 9) AS global_normalized_uniqueness_rate,
+            row_number() OVER (ORDER BY count(DISTINCT nr)::DOUBLE / count(response_text), model)::INTEGER AS place
             FROM normed GROUP BY model""",
         "performance_by_model": f"""WITH {ANSWERS} SELECT model, {', '.join(r9(f'{f}({m})', f'{m}_{s}')
             for s, f in (('avg', 'avg'), ('median', 'median'))
-            for m in ('latency_ms', 'output_tokens', 'tokens_per_second'))}
+            for m in ('latency_ms', 'output_tokens', 'tokens_per_second'))},
+            row_number() OVER (ORDER BY avg(latency_ms) NULLS LAST, model)::INTEGER AS place
             FROM (SELECT *, {PERFORMANCE} FROM answers) GROUP BY model""",
         "semantic_repro": f"""WITH {ANSWERS}, {run_pairs()}, {text_match('chosen', 'text_i', 'text_j')}
             SELECT model, question_id, {r9('avg(f1)', 'semantic_self_similarity_mean')},
@@ -380,8 +402,9 @@ def queries() -> dict[str, str]:
             count(DISTINCT response_text)::DOUBLE / count(*) AS u, count(DISTINCT nr)::DOUBLE / count(*) AS un
             FROM normed GROUP BY ALL) SELECT model, question_id, run_index, {r9('u', 'is_unique_response')},
             {r9('un', 'is_unique_normalized_response')} FROM normed JOIN g USING (model, question_id)""",
-        "least_reproducible": f"""WITH {NORMED}, {RUNS} SELECT model, question_id, n_runs, {', '.join(r9(c) for c in REPRO_COLUMNS)}
-            FROM run_stats ORDER BY normalized_self_agreement_rate, normalized_response_uniqueness_rate DESC, model, question_id LIMIT 20""",
+        "least_reproducible": f"""WITH {NORMED}, {RUNS} SELECT model, question_id, n_runs, {', '.join(r9(c) for c in REPRO_COLUMNS)},
+            row_number() OVER (ORDER BY normalized_self_agreement_rate, normalized_response_uniqueness_rate DESC, model, question_id)::INTEGER AS place
+            FROM run_stats QUALIFY place <= 20""",
         "union_responses": f"WITH {ANSWERS} SELECT model, question_id, run_index, response_text FROM answers",
         "similarity_matrix": f"""WITH {similarity()} SELECT model_a AS model, {', '.join(
             f"round(max(similarity) FILTER (model_b = 'm{i}'), 9) AS m{i}" for i in range(1, 6))} FROM sim GROUP BY model_a""",
