@@ -29,6 +29,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Spark's defaults hold 10,000 rows or 64 MB of text in the JVM, in its Python worker, and again on the way back
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, "4m"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows or 4 MB from here on, unless the session was given other sizes."""
+    for key, usual, wanted in BATCHES:
+        if spark.conf.get(key, usual) in (usual, "67108864", "64MB", "64m"):
+            spark.conf.set(key, wanted)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first ``name_2``, ``name_3``, … that ``df`` has no column of."""
+    taken, n, free = {c.lower() for c in df.columns}, 1, name
+    while free.lower() in taken:
+        n += 1
+        free = f"{name}_{n}"
+    return free
+
+
 def narrow(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A stored, narrow key table with a broadcast hint if it has at most ``limit`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= limit else df

@@ -11,6 +11,7 @@ that sum, fitted on the labelled rows, is the score.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,7 @@ BEGINNINGS = range(3, 9)
 Z_LEAST, DRIFT, CAP = 4.0, 0.5, 6.0
 SIGNIFICANT = 0.01  # expected count by chance, below which a passage is reported
 NO_PASSAGE = -6.0
+HELD_WEIGHTS = 100_000  # words whose weights a task remembers
 HELD_WORDS = 200_000  # words that a task counts before it hands them on
 SEED = 5
 
@@ -220,7 +222,7 @@ def passages(text: str, model: Model, cache: dict[str, float]) -> tuple[int, lis
         weight = cache.get(word)
         if weight is None:
             weight = model.word(word)
-            if len(cache) > 300_000:
+            if len(cache) > HELD_WEIGHTS:
                 cache.clear()
             cache[word] = weight
         if weight:
@@ -293,10 +295,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     empty; texts are scanned whole; repeated rows are scored alike; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_FEATURES
+    mark = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
         model, scores, spans = sent.value, [], []
-        cache = CACHES.setdefault(id(model), {})
+        if OWNER[0] != mark:
+            OWNER[0] = mark
+            CACHE.clear()
+        cache = CACHE
         for text in texts(batch, "text"):
             words, found = passages(text, model, cache)
             bits = [(a, b, s, model.bits(s, words)) for a, b, s in found]
@@ -317,7 +323,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return arrow_map(rows, run, f"doc_id long, held_out boolean, score double, predicted int, passages {passage}")
 
 
-CACHES: dict[int, dict[str, float]] = {}
+OWNER, CACHE = [""], {}  # weights of words that a worker met, and the scoring that they belong to
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
