@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evenkeel.llm.common import (
-    arrow_map, chunk_pairs, components, Forest, groups, in_order, mix, narrow, shingle_set, stored, utf8,
+    arrow_map, chunk_pairs, components, Forest, groups, in_order, mix, narrow, shingle_set, stored, utf8, unused,
 )
 
 WORDS, PERCENT = 5, 80
@@ -345,16 +345,17 @@ def keep_one(
     """
     found = stored(labelled(docs, id_col, text_col, words, percent).filter("node is not null"))
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("best"))
-    rid = F.coalesce("doc_id", "mark").alias("own_id")
+    own_id, own_mark = unused(docs, "own_id"), unused(docs, "own_mark")
+    rid = F.coalesce("doc_id", "mark").alias(own_id)
     judged = found.join(best, "root").select(
-        rid, F.col("mark").alias("own_mark"), (F.xxhash64("doc_id", "mark") == F.xxhash64("best.doc_id", "best.mark")).alias("wins")
+        rid, F.col("mark").alias(own_mark), (F.xxhash64("doc_id", "mark") == F.xxhash64("best.doc_id", "best.mark")).alias("wins")
     )
-    judged = stored(judged.groupBy("own_id", "own_mark").agg(F.max("wins").alias("wins"), F.count(F.lit(1)).alias("times")))
+    judged = stored(judged.groupBy(own_id, own_mark).agg(F.max("wins").alias("wins"), F.count(F.lit(1)).alias("times")))
     mark = F.xxhash64(F.col(text_col).cast("string"))
-    own = docs.withColumns({"own_mark": mark}).withColumn("own_id", F.coalesce(F.col(id_col).cast("long"), "own_mark"))
-    left = own.join(narrow(judged.filter("not wins").select("own_id", "own_mark")), ["own_id", "own_mark"], "left_anti")
-    again = judged.filter("wins and times > 1").select("own_id", "own_mark")
+    own = docs.withColumn(own_mark, mark).withColumn(own_id, F.coalesce(F.col(id_col).cast("long"), F.col(own_mark)))
+    left = own.join(narrow(judged.filter("not wins").select(own_id, own_mark)), [own_id, own_mark], "left_anti")
+    again = judged.filter("wins and times > 1").select(own_id, own_mark)
     if not again.isEmpty():
-        once = left.join(again, ["own_id", "own_mark"], "left_semi").dropDuplicates(["own_id", "own_mark"])
-        left = left.join(again, ["own_id", "own_mark"], "left_anti").unionByName(once)
+        once = left.join(again, [own_id, own_mark], "left_semi").dropDuplicates([own_id, own_mark])
+        left = left.join(again, [own_id, own_mark], "left_anti").unionByName(once)
     return left.select(docs.columns)

@@ -15,6 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evenkeel.llm.common import unused
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "local_phone")
 # Patterns: leftmost matches start where a run starts, so a look-behind keeps long runs linear; groups that repeat
@@ -317,8 +319,9 @@ def masked(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     """``docs`` with every span replaced by its kind in brackets (of overlapping spans the first, then the longer);
     ``size_col``, if the table has it, is the new length. Null text stays null; all other columns are as they were."""
     weights = train(docs, text_col)
+    own = unused(docs, "own_spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    ordered = F.array_sort(F.transform(F.col("own_spans"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(F.col(own), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
     def step(state: Column, s: Column) -> Column:
         end = -s["back"]
@@ -329,8 +332,8 @@ def masked(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
 
     state = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     new = F.concat(state["out"], F.substr(text, state["at"] + 1, F.length(text)))
-    out = docs.withColumn("own_spans", F.coalesce(spans(text, weights), F.array().cast("array<struct<kind:string,start:int,end:int>>")))
-    out = out.withColumn(text_col, F.when(F.size("own_spans") > 0, new).otherwise(F.col(text_col)))
+    out = docs.withColumn(own, F.coalesce(spans(text, weights), F.array().cast("array<struct<kind:string,start:int,end:int>>")))
+    out = out.withColumn(text_col, F.when(F.size(own) > 0, new).otherwise(F.col(text_col)))
     if size_col in docs.columns:
-        out = out.withColumn(size_col, F.when(F.size("own_spans") > 0, F.length(text_col)).otherwise(F.col(size_col)).cast(docs.schema[size_col].dataType))
+        out = out.withColumn(size_col, F.when(F.size(own) > 0, F.length(text_col)).otherwise(F.col(size_col)).cast(docs.schema[size_col].dataType))
     return out.select(docs.columns)
