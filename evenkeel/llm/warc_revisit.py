@@ -40,8 +40,11 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     (names in lower case); others null.
 
     Times of a URL are first collapsed to one row a second, ordered within time buckets, and carried from bucket to
-    bucket, so a URL with a third of all records is spread over its buckets. Null URL or time: ``no_earlier``.
-    Repeated rows are resolved alike, each on its own; bodies are not read. Empty tables give an empty result.
+    bucket, so a URL with a third of all records is spread over its buckets. The response's validators travel with its
+    time; only resolved rows meet the responses again, for their headers, by id, URL and second, so an id that stands
+    for several responses is told apart (of equal ones in a second the largest validators, then headers). Responses
+    without an id cannot be referred to. Null URL or time: ``no_earlier``, without a join. Repeated rows are resolved
+    alike, each on its own; bodies are not read. Empty tables give an empty result; other columns are ignored.
     """
     rows = records.select(
         F.col("record_id").cast("long").alias("record_id"),
@@ -56,7 +59,8 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
         ).alias("headers"),
     )
     keyed = rows.filter("canonical_url is not null and ts is not null")
-    full = F.when(F.col("status") == 200, F.struct("ts", "record_id"))
+    responses = (F.col("status") == 200) & F.col("record_id").isNotNull()
+    full = F.when(responses, F.struct("ts", "record_id", "tag", "last_modified"))
     times = keyed.groupBy("canonical_url", "ts").agg(F.max(full).alias("own"))
     times = times.withColumn("bucket", F.floor(F.col("ts") / span))
     before = Window.partitionBy("canonical_url", "bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,37 +68,50 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     closing = times.groupBy("canonical_url", "bucket").agg(F.max("own").alias("closing"))
     earlier = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = closing.select("canonical_url", "bucket", F.last("closing", ignorenulls=True).over(earlier).alias("far"))
-    asof = within.join(carried, ["canonical_url", "bucket"]).select(
-        "canonical_url", "ts", F.coalesce("near", "far")["record_id"].alias("refers_to")
-    )
-    revisits = rows.filter("status = 304")
-    matched = revisits.join(asof.filter("refers_to is not null"), ["canonical_url", "ts"], "left")
-    stored = (
-        rows.filter("status = 200 and record_id is not null")
-        .groupBy(F.col("record_id").alias("refers_to"))
-        .agg(F.min(F.struct("tag", "last_modified", "headers")).alias("old"))
-    )
-    joined = matched.join(stored, "refers_to", "left")
+    asof = within.join(carried, ["canonical_url", "bucket"]).select("canonical_url", "ts", F.coalesce("near", "far").alias("old"))
+    seen = (F.col("status") == 304) & F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
+    matched = rows.filter(seen).join(asof.filter("old is not null"), ["canonical_url", "ts"], "left")
     tags, dates = (F.col("tag"), F.col("old.tag")), (F.col("last_modified"), F.col("old.last_modified"))
     both_tags, both_dates = tags[0].isNotNull() & tags[1].isNotNull(), dates[0].isNotNull() & dates[1].isNotNull()
     verdict = (
-        F.when(F.col("refers_to").isNull(), "no_earlier")
+        F.when(F.col("old").isNull(), "no_earlier")
         .when(both_tags, F.when(tags[0] == tags[1], "resolved").otherwise("changed"))
         .when(both_dates, F.when(dates[0] == dates[1], "resolved").otherwise("changed"))
         .otherwise("unverified")
     )
+    judged = matched.withColumn("verdict", verdict).select(
+        "record_id", "canonical_url", F.col("old.record_id").alias("refers_to"), F.col("old.ts").alias("full_ts"), "verdict", "headers"
+    )
+    told = ["record_id", "canonical_url", "refers_to", "verdict"]
+    stored = (
+        keyed.filter(responses)
+        .groupBy(F.col("record_id").alias("refers_to"), "canonical_url", F.col("ts").alias("full_ts"))
+        .agg(F.max(F.struct("tag", "last_modified", "headers"))["headers"].alias("old_headers"))
+    )
     newer = F.filter("headers", lambda h: h["name"].isin(*PERMITTED))
     names = F.transform(newer, lambda h: h["name"])
-    merged = F.concat(F.filter("old.headers", lambda h: ~F.array_contains(names, h["name"])), newer)
-    return joined.withColumn("verdict", verdict).select(
-        "record_id", "canonical_url", "refers_to", "verdict", F.when(F.col("verdict") == "resolved", merged).alias("headers")
+    merged = F.concat(F.filter("old_headers", lambda h: ~F.array_contains(names, h["name"])), newer)
+    resolved = judged.filter("verdict = 'resolved'").join(stored, ["refers_to", "canonical_url", "full_ts"])
+    none = F.lit(None).cast("array<struct<name:string,value:string>>").alias("headers")
+    unkeyed = rows.filter("status = 304 and (canonical_url is null or ts is null)").select(
+        "record_id", "canonical_url", F.lit(None).cast("long").alias("refers_to"), F.lit("no_earlier").alias("verdict"), none
     )
+    rest = judged.filter("verdict <> 'resolved'").select(*told, none)
+    return resolved.select(*told, merged.alias("headers")).unionByName(rest).unionByName(unkeyed)
 
 
 def with_bodies(resolved: DataFrame, records: DataFrame, body_col: str) -> DataFrame:
-    """``resolved`` with the body of the response that each resolved row refers to, as ``body``."""
-    bodies = records.filter("status = 200 and record_id is not null").groupBy(
-        F.col("record_id").cast("long").alias("refers_to")
-    ).agg(F.first(body_col).alias("body"))
-    ref = F.when(F.col("verdict") == "resolved", F.col("refers_to"))
-    return resolved.withColumn("ref", ref).join(bodies.withColumnRenamed("refers_to", "ref"), "ref", "left").drop("ref")
+    """``resolved`` with the body of the response that each resolved row refers to, as ``body``.
+
+    Where an id stands for several responses of one canonical URL, the latest one's, of equal times the largest. Rows
+    that are not resolved have a null body and take no part in the join.
+    """
+    keys = ["refers_to", "canonical_url"]
+    full = records.filter("status = 200 and record_id is not null and url is not null").select(
+        F.col("record_id").cast("long").alias("refers_to"), canonical(F.col("url")).alias("canonical_url"), "ts", F.col(body_col).alias("body")
+    )
+    bodies = full.groupBy(*keys).agg(F.max(F.struct("ts", "body"))["body"].alias("body"))
+    done = F.col("verdict") == "resolved"
+    with_body = resolved.filter(done).join(bodies, keys, "left").select(*resolved.columns, "body")
+    rest = resolved.filter(~done).withColumn("body", F.lit(None).cast(bodies.schema["body"].dataType))
+    return with_body.unionByName(rest.select(with_body.columns))
