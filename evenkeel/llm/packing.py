@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 
@@ -19,16 +18,10 @@ GROUP_PIECES = 20_000  # pieces that one task packs; each group wastes a few seq
 
 
 class Tokens:
-    """Ids (as little-endian 32-bit bytes) of a text under a byte-level BPE vocabulary.
+    """Ids (as little-endian 32-bit bytes) of a text under a byte-level BPE vocabulary; one encoder a worker."""
 
-    Nearly all texts have their words apart by one space or line feed. There the pre-tokeniser's look-ahead over
-    white space decides nothing, and a pattern without it, which matches about a third faster, gives the same ids.
-    """
-
-    # fixed values: the pattern of byte-level pre-tokenisers, and the same without the look-ahead
+    # fixed values: the pattern of byte-level pre-tokenisers
     PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    SINGLE = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
-    RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str) -> None:
         import tiktoken
@@ -44,12 +37,9 @@ class Tokens:
         ranks = {
             bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special
         }
-        full, single = (
-            tiktoken.Encoding(path, pat_str=p, mergeable_ranks=ranks, special_tokens=special)
-            for p in (self.PATTERN, self.SINGLE)
-        )
-        self.full, self.single = full.encode_ordinary, single.encode_ordinary
-        self.with_special = lambda text: full.encode(text, allowed_special="all")
+        encoding = tiktoken.Encoding(path, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.ordinary = encoding.encode_ordinary
+        self.with_special = lambda text: encoding.encode(text, allowed_special="all")
         self.special = list(special)
 
     @staticmethod
@@ -59,16 +49,11 @@ class Tokens:
         rest = [b for b in range(256) if b not in printable]
         return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def wide(self, text: str) -> bool:
-        """Whether there is white space that the shorter pattern may split otherwise."""
-        pairs = any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
-        return pairs or text[:1].isspace() or text[-1:].isspace() or self.RARE.search(text) is not None
-
     def of(self, text: str, special: bool = False) -> bytes:
         """With ``special``, added tokens written in the text are one id each, as the reference tokenizer reads them."""
         if special and any(t in text for t in self.special):
             return array("I", self.with_special(text)).tobytes()
-        return array("I", (self.full if self.wide(text) else self.single)(text)).tobytes()
+        return array("I", self.ordinary(text)).tobytes()
 
 
 LOADED: dict[str, Tokens] = {}  # one per worker process and vocabulary
@@ -98,18 +83,22 @@ def cut(batch: pa.RecordBatch, path: str, capacity: int, with_ids: bool, special
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Items in their order to bins: each goes where sum over gaps of (open bins with that gap)^2 becomes smallest."""
+    """Items in their order to bins: each goes where the sum over gaps of (open bins with that gap)^2 becomes smallest.
+
+    Of equal sums the fullest bin is taken. A full bin is no longer open, and a new one is begun only where no open bin
+    has room.
+    """
     count = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
     bins: list[list[int]] = []
     for item, size in enumerate(lengths.tolist()):
-        gap, best = capacity, 2 * count[capacity - size] + 1 if size < capacity else 0
+        gap = capacity
         if size < capacity:
             before, after = count[size:capacity], 2 * count[: capacity - size] + 1
             after[0] = 0  # a full bin is no longer open
             change = np.where(before > 0, after - 2 * before + 1, 1 << 60)
             k = int(change.argmin())
-            if change[k] <= best:
+            if before[k]:
                 gap = size + k
         if gap == capacity:
             chosen: list[int] = []
@@ -124,43 +113,18 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Items from long to short, each to the bin that it fills best."""
-    open_bins: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-    count = np.zeros(capacity + 1, np.int64)
-    bins: list[list[int]] = []
-    for item in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[item])
-        fits = np.flatnonzero(count[size:])
-        gap = size + int(fits[0]) if len(fits) else capacity
-        if len(fits):
-            count[gap] -= 1
-            chosen = open_bins[gap].pop()
-        else:
-            chosen = []
-            bins.append(chosen)
-        chosen.append(item)
-        if gap > size:
-            count[gap - size] += 1
-            open_bins[gap - size].append(chosen)
-    return bins
-
-
 def pack_group(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Sum-of-squares packing of one group; what stands in bins that stayed open is packed again by best fit."""
-    pieces = pieces.sort_values(["draw", "doc_id", "piece", "length", "ids_crc32"], ignore_index=True)
+    """Sum-of-squares packing of one group, from long pieces to short ones."""
+    pieces = pieces.sort_values(["length", "draw"], ascending=[False, True], ignore_index=True)
     lengths = pieces["length"].to_numpy()
     bins = sum_of_squares(lengths, capacity)
-    closed = [b for b in bins if lengths[b].sum() == capacity]
-    left = np.array([i for b in bins if lengths[b].sum() < capacity for i in b], np.int64)
-    bins = closed + [left[b].tolist() for b in best_fit(lengths[left], capacity)]
     sequence, offset = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
     for number, items in enumerate(bins):
         sequence[items] = number
         offset[items] = np.cumsum([0, *lengths[items][:-1]])
     pieces["sequence_id"] = pieces["part"].to_numpy(np.int64) * (1 << 32) + sequence
     pieces["offset"] = offset
-    return pieces.drop(columns=["part", "draw"])
+    return pieces.drop(columns=["part", "draw", "row"])
 
 
 def pack(
@@ -176,17 +140,18 @@ def pack(
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``).
 
     ``vocabulary`` is the JSON file of a byte-level BPE tokenizer. A document is its ids, then id 0; longer ones are
-    cut. Pieces are dealt by hash to groups of about ``group_pieces``, each packed in one task; texts are not
-    shuffled. A null text is empty: one id. Added tokens written in a text (``<|endoftext|>``) are ordinary text, or
+    cut. Pieces are numbered where they are stored and dealt by a hash of that number to groups of about
+    ``group_pieces``, each packed in one task, so equal rows spread over groups; texts are not shuffled. A null text is empty: one id. Added tokens written in a text (``<|endoftext|>``) are ordinary text, or
     with ``special`` one id each, as the reference tokenizer has it by default; the queries use that. Repeated rows
     and null ids are documents of their own. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long"
     shape += ", ids array<int>" if with_ids else ""
-    pieces = stored(arrow_map(rows, lambda b: cut(b, vocabulary, capacity, with_ids, special), shape))
+    made = arrow_map(rows, lambda b: cut(b, vocabulary, capacity, with_ids, special), shape)
+    pieces = stored(made.withColumn("row", F.monotonically_increasing_id()))
     parts = max(1, round(pieces.count() / group_pieces))
-    drawn = pieces.withColumn("draw", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    drawn = pieces.withColumn("draw", F.xxhash64("row"))
     dealt = drawn.withColumn("part", F.pmod("draw", F.lit(parts)).cast("int"))
     return dealt.groupBy("part").applyInPandas(
         lambda group: pack_group(group, capacity), f"{shape}, sequence_id long, offset long"
