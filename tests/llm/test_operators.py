@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evenkeel.llm import (
     decontaminate, embed_dedup, jaccard_join, packing, pii, quality, secret_scan, toxicity, url_filter, warc_revisit,
@@ -400,3 +401,87 @@ def test_pipeline(spark):
     index = decontaminate.build([tuple(r) + (None,) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     clean = {i for i, t in left if i in kept and not decontaminate.leaks(index, [t])[0]}
     assert set(packed["doc_id"]) == clean
+
+
+def test_sum_of_squares_places_as_the_rule_says():
+    """Every placement against all open bins tried one by one."""
+    draw = np.random.default_rng(12)
+    for _ in range(20):
+        lengths, capacity = draw.integers(1, 31, 120), 30
+        bins = packing.sum_of_squares(lengths, capacity)
+        of = {i: n for n, b in enumerate(bins) for i in b}
+        assert sorted(of) == list(range(120))
+        gaps = []
+        for item, size in enumerate(lengths.tolist()):
+            def squares(target):
+                after = gaps.copy()
+                after[target] -= size
+                left = [g for g in after if g]
+                return sum(left.count(g) ** 2 for g in set(left)), after[target]
+
+            fits = [n for n, g in enumerate(gaps) if g >= size]
+            if not fits:
+                gaps.append(capacity - size)
+                assert of[item] == len(gaps) - 1
+            else:
+                assert squares(of[item]) == min(map(squares, fits))
+                gaps[of[item]] -= size
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    df = docs(spark, [(1, "same text")] * 300).repartition(3)
+    got = packing.pack(df, vocabulary(), group_pieces=30).collect()
+    groups = {}
+    for r in got:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(got) == 300 and len(groups) == 10 and max(groups.values()) < 75
+
+
+def test_packing_reaches_the_bound_nearly(spark):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), vocabulary(), special=True).selectExpr(
+        "count(distinct sequence_id) AS n", "ceil(sum(length) / 2048) AS least"
+    ).first()
+    assert got.n <= got.least * 1.01 + 1
+
+
+def test_revisits_of_an_id_that_stands_twice(spark):
+    """Two responses share an id; the as-of one has the equal tag. Null URLs and times never resolve."""
+    header = [("A", "1")]
+    rows = [
+        (1, "http://x.org/a", 10, 200, "new", None, [("A", "new")]), (1, "http://x.org/a", 5, 200, "old", None, [("A", "old")]),
+        (1, "http://x.org/b", 8, 200, "other", None, [("A", "other")]), (2, "http://x.org/a", 20, 304, "new", None, header),
+        (3, "http://x.org/a", 7, 304, "new", None, header), (4, None, 20, 304, "new", None, header), (5, "http://x.org/a", None, 304, "new", None, header),
+        (None, "http://x.org/a", 15, 200, "none", None, header), (6, "http://x.org/b", 9, 304, None, None, None),
+    ]
+    shape = "record_id long, url string, ts long, status int, etag string, last_modified string, headers array<struct<name:string,value:string>>, old string, full_ts long, verdict string"
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], shape)
+    found = warc_revisit.resolve(df)
+    got = {r.record_id: (r.refers_to, r.verdict, r.headers and [tuple(h) for h in r.headers]) for r in found.collect()}
+    assert got == {
+        2: (1, "resolved", [("a", "new")]), 3: (1, "changed", None), 4: (None, "no_earlier", None), 5: (None, "no_earlier", None), 6: (1, "unverified", None),
+    }
+    bodies = df.withColumn("body", F.concat("url", "ts"))
+    assert {r.record_id: r.body for r in warc_revisit.with_bodies(found, bodies, "body").collect()} == {2: "http://x.org/a10", 3: None, 4: None, 5: None, 6: None}
+    assert warc_revisit.resolve(df.limit(0)).count() == 0
+
+
+def test_callers_columns_of_any_name_stay(spark):
+    rows = [(1, "mail a@b.org now please today", "spans", 5, 7), (2, "mail a@b.org now please today", None, 6, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_spans string, own_mark long, own_id long")
+    masked = pii.masked(df, size_col=None)
+    assert masked.columns == df.columns and sorted((r.own_spans or "", r.own_mark) for r in masked.collect()) == [("", 6), ("spans", 5)]
+    assert "[EMAIL]" in masked.first().text
+    left = jaccard_join.keep_one(df)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == rows[:1]
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark):
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, base.limit(0), SF).count() == 0, name
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, None, "en", "a", 0)], base.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, SF)
+        assert kept.columns == base.columns and kept.count() == 4, name
