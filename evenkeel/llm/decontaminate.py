@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from evenkeel.llm.common import arrow_map, texts
+from evenkeel.llm.common import SLICE, arrow_map, narrow, stored, texts, unused
 
 K1, B = 1.2, 0.75
 RETRIEVE = 0.6  # share of an item's own BM25 score that a passage must reach
@@ -23,8 +25,19 @@ USUAL = 0.4  # share of an item's score that terms without a passage bound may m
 EPS = 1e-6
 SPACED = bytes(b if b > 127 or chr(b).isalnum() or chr(b) == "_" else 32 for b in range(256))
 GATHERED_WORDS = 50_000  # words of several texts whose passages are bounded at once
-MAX_ITEMS = 20_000  # items of one index, about 100 MB at 60 words; more items are searched index by index
+MAX_ITEMS = 20_000  # items of one index, about 100 MB at 60 words; more items are searched index after index
 LEAST_WINDOW = 64
+LEAKS = ArrayType(StructType([StructField("item_id", LongType()), StructField("score", DoubleType())]))
+
+
+@dataclass
+class Whole:
+    """What scores need to know of all items, whichever index an item is in."""
+
+    count: int  # items with words
+    words: int
+    longest: int
+    df: dict[bytes, int]  # of the terms that an index holds
 
 
 @dataclass
@@ -62,9 +75,10 @@ def split_item(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
     return words[:at], words[at:]
 
 
-def build(rows: list[tuple[int, str, str | None]]) -> Index:
+def build(rows: list[tuple[int, str, str | None]], whole: Whole | None = None) -> Index:
     """``rows``: (item id, text or question, answer or null). Items without words are left out.
 
+    ``whole`` describes all items where ``rows`` are some of them; scores are the same in any division.
     Items are ordered by which of the most common terms they hold, so that items of one language share zones.
     """
     taken = []
@@ -80,13 +94,14 @@ def build(rows: list[tuple[int, str, str | None]]) -> Index:
     taken.sort(key=lambda x: ([t not in x[1] for t in common], x[0]))
     ids, bags, parts = [x[0] for x in taken], [x[1] for x in taken], [x[2] for x in taken]
     sizes = [sum(b.values()) for b in bags]
-    mean = sum(sizes) / len(sizes) if sizes else 1.0
-    df = Counter(t for b in bags for t in b)
-    idf = {t: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    own_df = Counter(t for b in bags for t in b)
+    whole = whole or Whole(len(sizes), sum(sizes), max(sizes, default=0), own_df)
+    mean = whole.words / max(1, whole.count)
+    idf = {t: math.log(1 + (whole.count - whole.df[t] + 0.5) / (whole.df[t] + 0.5)) for t in own_df}
     lists: dict[bytes, list[tuple[int, float]]] = {}
     for i, bag in enumerate(bags):
         impact = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * sizes[i] / mean)) for t, n in bag.items()}
-        own = sum(impact.values())
+        own = math.fsum(impact.values())
         for t, w in impact.items():
             lists.setdefault(t, []).append((i, w / own))
     terms = {t: n for n, t in enumerate(lists)}
@@ -103,13 +118,13 @@ def build(rows: list[tuple[int, str, str | None]]) -> Index:
     zone_at = np.cumsum([0, *(len(z) for z, _ in per_term)])
     # the terms most items share are not essential: what they can add to any one item is known without a passage
     add, rare = np.zeros(len(ids)), dict(terms)
-    for t in sorted(terms, key=lambda t: (-df[t], t)):
+    for t in sorted(terms, key=lambda t: (-own_df[t], t)):
         n = terms[t]
         if (add[items[n]] + weights[n]).max() <= USUAL:
             add[items[n]] += weights[n]
             del rare[t]
     usual = np.array([add[a:b].max() for a, b in zip(ends[:-1], ends[1:], strict=True)])
-    window = max(LEAST_WINDOW, 2 * max(sizes, default=0))
+    window = max(LEAST_WINDOW, 2 * whole.longest)
     return Index(ids, terms, items, weights, block_max, ends, zones, zone_max, zone_at, rare, usual, window, parts)
 
 
@@ -157,7 +172,7 @@ def search(index: Index, terms: list[int], zone: int, least: float) -> list[tupl
         elif order[0][0] < item:
             goal = item
         else:
-            score = sum(index.weights[t][places[t]] for _, t in order[: pivot + 1])
+            score = math.fsum(index.weights[t][places[t]] for _, t in order[: pivot + 1])  # in any order of terms
             if score >= least - EPS:
                 found.append((item, float(score)))
             goal = item + 1
@@ -250,20 +265,76 @@ def verified(index: Index, words: list[bytes], best: dict[int, float]) -> list[t
     )
 
 
-def indexes(items: DataFrame, id_col: str, text_col: str, answer_col: str | None, max_items: int) -> list[Index]:
-    """The items in indexes of at most ``max_items``; item sets are collected index by index."""
+def item_terms(batch: pa.RecordBatch) -> dict:
+    """Number of words and distinct terms of each item."""
+    split = [words_of(q) + words_of(a) for q, a in zip(texts(batch, "text"), texts(batch, "answer"), strict=True)]
+    return {"slice": batch.column("slice"), "size": [len(x) for x in split], "terms": [list(dict.fromkeys(x)) for x in split]}
+
+
+def indexes(items: DataFrame, id_col: str, text_col: str, answer_col: str | None, max_items: int) -> Iterator[Index]:
+    """One index after the other, of about ``max_items`` items at most; only the one being built is on the driver.
+
+    How many items hold a term, the number of items and their length are counted once, in Spark, over all items.
+    """
     rows = items.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("text"),
         (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"),
     ).filter("id is not null").dropDuplicates()
-    total = rows.count()
-    slices = math.ceil(1.2 * total / max_items) if total > max_items else 1
-    out = []
+    rows = stored(rows)
+    slices = max(1, math.ceil(1.2 * rows.count() / max_items))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+    held = stored(arrow_map(rows.select("slice", "text", "answer"), item_terms, "slice int, size long, terms array<binary>"))
+    count, words, longest = held.filter("size > 0").agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+    in_slice = held.select("slice", F.explode("terms").alias("term")).groupBy("slice", "term").agg(F.count(F.lit(1)).alias("n"))
+    in_slice = stored(in_slice)
+    df = in_slice.groupBy("term").agg(F.sum("n").alias("df"))
+    known = stored(in_slice.select("slice", "term").join(df, "term"))
     for s in range(slices):
-        part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == s).orderBy("id", "text")
-        out.append(build([tuple(r) for r in part.collect()]))
-    return out
+        counts = {bytes(r["term"]): r["df"] for r in known.filter(F.col("slice") == s).select("term", "df").collect()}
+        part = rows.filter(F.col("slice") == s).orderBy("id", "text", "answer").select("id", "text", "answer")
+        yield build([tuple(r) for r in part.collect()], Whole(count, words or 0, longest or 0, counts))
+
+
+def searched(docs: DataFrame, text_col: str, name: str, sent) -> DataFrame:
+    """``docs`` with the leaks that one index finds, as a further column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())]))
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                some = batch.slice(start, SLICE)
+                told = [[{"item_id": i, "score": s} for i, s in x] for x in leaks(sent.value, texts(some, text_col))]
+                shape = some.schema.append(pa.field(name, kind))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(told, kind)], schema=shape)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LEAKS)]))
+
+
+def with_leaks(docs: DataFrame, text_col: str, name: str, built: Iterable[Index]) -> DataFrame:
+    """``docs`` with an array ``name`` of (item_id, score) of the items that a text holds, by item.
+
+    Each index is sent alone and released before the next; what all but the last find is stored by two 64-bit hashes
+    of the text, which is little. The last is searched where the rows are read, so with one index there is no join.
+    """
+    spark, found, last = docs.sparkSession, None, None
+    marks = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)]
+    for index in built:
+        if last is not None:
+            sent = spark.sparkContext.broadcast(last)
+            some = searched(docs.select(text_col), text_col, "held", sent).filter(F.size("held") > 0)
+            some = stored(some.select(marks[0].alias("mark_a"), marks[1].alias("mark_b"), "held").distinct())
+            sent.destroy()
+            found = some if found is None else found.union(some)
+        last = index
+    rows = searched(docs, text_col, name, spark.sparkContext.broadcast(last))
+    if found is not None:
+        mark, mark_b, more = (unused(rows, c) for c in ("mark_a", "mark_b", "held"))
+        found = found.groupBy(F.col("mark_a").alias(mark), F.col("mark_b").alias(mark_b))
+        found = stored(found.agg(F.flatten(F.collect_list("held")).alias(more)))  # one array an index and text
+        rows = rows.withColumns({mark: marks[0], mark_b: marks[1]}).join(narrow(found), [mark, mark_b], "left")
+        rows = rows.withColumn(name, F.concat(name, F.coalesce(more, F.array().cast(LEAKS))))
+    return rows.select(*docs.columns, F.array_sort(name).alias(name))
 
 
 def find_leaks(
@@ -281,35 +352,20 @@ def find_leaks(
     Words are runs of word characters in lower case. Every passage of every document is a query; items that score
     at least 0.6 of their own BM25 score in some passage are checked: the document must hold 0.8 of the 5-word
     shingles of the question and 0.5 of those of the answer (without an answer column, the last quarter of the
-    item's words). Index and items go to the tasks (at most ``max_items`` items at a time); documents are not shuffled.
+    item's words). Items are searched index after index, each of about ``max_items`` items and alone in a task;
+    documents are read once an index and not shuffled. Scores do not depend on ``max_items``.
 
     Null or empty text holds nothing; items without words or id are left out; repeated items count once; repeated
     rows give equal rows; an empty table on either side gives empty leaks or an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     built = indexes(items, item_id_col, item_text_col, item_answer_col, max_items)
-    sent = [docs.sparkSession.sparkContext.broadcast(index) for index in built]
+    found = with_leaks(rows, "text", "leaks", built)
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), "leaks")
 
-    def run(batch: pa.RecordBatch) -> dict:
-        some = texts(batch, "text")
-        found = [sorted(chain.from_iterable(x)) for x in zip(*(leaks(part.value, some) for part in sent), strict=True)]
-        return {
-            "doc_id": batch.column("doc_id"),
-            "contaminated": [bool(x) for x in found],
-            "leaks": [[{"item_id": i, "score": s} for i, s in x] for x in found],
-        }
 
-    return arrow_map(rows, run, "doc_id long, contaminated boolean, leaks array<struct<item_id: long, score: double>>")
-
-
-def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """``docs`` without the rows that hold a test item; all columns are kept as they are."""
-    sent = [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(items, "item_id", "text", None, MAX_ITEMS)]
-
-    def keep(batches):
-        for batch in batches:
-            some = texts(batch, "text")
-            flags = [not any(x) for x in zip(*(leaks(part.value, some) for part in sent), strict=True)]
-            yield batch.filter(pa.array(flags, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+    name = unused(docs, "leaks")
+    found = with_leaks(docs, "text", name, indexes(items, "item_id", "text", None, max_items))
+    return found.filter(F.size(name) == 0).select(docs.columns)

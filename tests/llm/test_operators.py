@@ -388,6 +388,19 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, []).limit(0), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_scores_do_not_depend_on_the_number_of_indexes(spark):
+    draw = np.random.default_rng(8)
+    words = [f"v{i}" for i in range(200)]
+    items = [(i % 95, " ".join(draw.choice(words, int(draw.integers(3, 60))))) for i in range(100)] + [(200, None), (None, "v1 v2")]
+    texts = [(i, " ".join(draw.choice(words, 80)) + " " + items[i][1] + " " + items[(i * 7) % 100][1]) for i in range(100)]
+    rows = docs(spark, texts + [texts[3], (300, None), (301, ""), (None, texts[5][1])]).selectExpr("*", "1 as held", "2 as mark_a", "3 as leaks")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, decontaminate.find_leaks(rows, tests, max_items=n).collect())) for n in (1000, 20))
+    assert one == many and len(one) == 104 and sum("contaminated=True" in r for r in one) == 102
+    left = [decontaminate.drop_leaks(rows, tests, n) for n in (1000, 20)]
+    assert all(df.columns == rows.columns and sorted(r["doc_id"] for r in df.collect()) == [300, 301] for df in left)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
