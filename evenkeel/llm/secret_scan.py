@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,16 +28,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this is [0-9a-f]+ of
 
 SIGN = re.compile(r":(?::{0,2}=)?|=+")  # one token; two or more "=" compare
 BEFORE = re.compile(r"(?:\|\||\?\?|&&|//|[?+.])\Z")  # with "=": the name may keep what it had
-TYPED = re.compile(r"""[ \t]*(?:[\w.$&*?!|]++|::|'(?=[a-z]+\b(?!'))|\[[^\]\n="]{0,80}\]|(?><[^=\n"]{0,160}>)|\([^)\n="]{0,80}\)|[ \t]++)+?([ \t]*):?=(?![=>~])""")
-TYPED_REACH = 240  # characters after ":" in which a type and its "=" stand
+TYPE_ENDS = re.compile(r"""[\n="]""")  # no type goes beyond these
+TYPE_PART = re.compile(r"""[\w.$&*?!|]++|::|'(?=[a-z]+\b(?!'))|[ \t]++""")
+CLOSING = {"<": ">", "(": ")", "[": "]"}
 # fixed values: names of types, which no assignment sets after "name:", and words that stand before ":" without being set
 TYPES = frozenset(
     "string str String Str text Text bytes byte char bool boolean Boolean int integer Integer long float double number "
     "Number any Any object Object auto var val const final null undefined None nil unknown u8 NSString String_t wstring".split()
 )
 CONTROL = frozenset(("else", "try", "finally", "default", "do", "otherwise", "begin"))
-NAME = re.compile(r"""([A-Za-z_$][\w.$-]*)["'\]]{0,2}[ \t]*\Z""")
-NAME_REACH = 160  # characters before the sign in which its name stands
 LITERAL = re.compile(r'''"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`''')
 BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>]++")
 REFERENCE = re.compile(r"\$\{?([A-Za-z_][\w.]*)\}?|([A-Za-z_][\w.]*)")
@@ -68,11 +70,78 @@ def literal_weight(value: str) -> float:
     return min(2.0, 0.5 * (classes - 1) + (entropy >= 2.5) * 0.5 + (entropy >= 3.2) * 0.5 + (len(value) >= 16) * 0.5)
 
 
-Piece = tuple[int, int, str]
-
-
-def value(text: str, at: int) -> tuple[list[Piece], list[str], int]:
+Piece = tuple[int, int]
+
+
+class Name(NamedTuple):
+    start: int
+    end: int
+    text: str
+
+
+class Typed(NamedTuple):
+    gap: int  # where white space before the sign starts
+    sign: int
+    end: int
+
+
+class Source:
+    """A text, with what was found about the run around the last place, so that a long run is searched once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.bare = self.line = 0, -1
+        self.brackets: dict[int, int] | None = None
+
+    def bare_end(self, at: int) -> int:
+        """Where the unquoted literal that goes through ``at`` ends; ``at`` if there is none."""
+        if not self.bare[0] <= at < self.bare[1]:
+            found = BARE.match(self.text, at)
+            self.bare = at, found.end() if found else at
+        return self.bare[1]
+
+    def line_end(self, at: int) -> int:
+        if not self.line[0] <= at <= self.line[1]:
+            found = TYPE_ENDS.search(self.text, at)
+            self.line, self.brackets = (at, found.start() if found else len(self.text)), None
+        return self.line[1]
+
+    def closing(self, at: int) -> int | None:
+        """Where the bracket at ``at`` is closed, within the line of the last ``line_end``."""
+        if self.brackets is None:
+            self.brackets = {}
+            opened: dict[str, list[int]] = {c: [] for c in CLOSING.values()}
+            for i in range(*self.line):
+                c = self.text[i]
+                if c in CLOSING:
+                    opened[CLOSING[c]].append(i)
+                elif c in opened and opened[c]:
+                    self.brackets[opened[c].pop()] = i
+        return self.brackets.get(at)
+
+    def typed(self, at: int) -> Typed | None:
+        """A type from ``at`` on with ``=`` or ``:=`` behind it."""
+        text, stop = self.text, self.line_end(at)
+        if text[stop : stop + 1] != "=" or text[stop + 1 : stop + 2] in ("=", ">", "~"):
+            return None
+        place, gap = at, at
+        while place < stop and not (place == stop - 1 and text[place] == ":"):
+            close = self.closing(place) if text[place] in CLOSING else None
+            if close is not None:
+                place = gap = close + 1
+                continue
+            part = TYPE_PART.match(text, place, stop)
+            if not part:
+                return None
+            place = part.end()
+            if text[place - 1] not in " \t":
+                gap = place
+        return Typed(gap if gap > at else place, place, stop + 1) if place > at else None
+
+
+def value(source: Source, at: int) -> tuple[list[Piece], list[str], int]:
     """Literals and names from ``at`` on, as far as they are joined, and where they end."""
+    text = source.text
     literals: list[Piece] = []
     names: list[str] = []
     while True:
@@ -84,19 +153,19 @@ def value(text: str, at: int) -> tuple[list[Piece], list[str], int]:
             at = braced.end()
         elif quoted:
             part = next(i for i in (1, 2, 3) if quoted[i] is not None)
-            literals.append((*quoted.span(part), quoted[part]))
+            literals.append(quoted.span(part))
             names += [a or b for a, b in REFERENCE.findall(quoted[part])] if "$" in quoted[part] else []
             at = quoted.end()
         else:
-            bare = BARE.match(text, at)
-            if not bare:
+            end = source.bare_end(at)
+            if end == at:
                 break
-            refers = REFERENCE.fullmatch(bare[0])
+            refers = REFERENCE.fullmatch(text, at, end)
             if refers:
                 names.append(refers[1] or refers[2])
             if not refers or not refers[1]:
-                literals.append((*bare.span(), bare[0]))
-            at = bare.end()
+                literals.append((at, end))
+            at = end
         joined = JOIN.match(text, at)
         if not joined:
             break
@@ -104,8 +173,19 @@ def value(text: str, at: int) -> tuple[list[Piece], list[str], int]:
     return literals, names, at
 
 
-def name_before(text: str, end: int) -> re.Match | None:
-    return NAME.search(text, max(0, end - NAME_REACH), end)
+def name_before(text: str, end: int) -> Name | None:
+    """The name that ends at ``end``, but for white space, quotes and a bracket; no name goes beyond a sign."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    for _ in range(2):
+        if end and text[end - 1] in "\"']":
+            end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.$-"):
+        start -= 1
+    while start < end and not (text[start].isascii() and text[start].isalpha() or text[start] in "_$"):
+        start += 1
+    return Name(start, end, text[start:end]) if start < end else None
 
 
 def is_quoted(text: str, literals: list[Piece]) -> bool:
@@ -122,7 +202,7 @@ def pairs(text: str) -> list[tuple[str, list[Piece], list[str]]]:
     A name that may keep what it had (``+=``, ``?=``) refers to itself. In ``name: Type = literal`` the literal is
     that of ``name``; where ``Type`` may be a name that is set (``else: x = ...``), it has the literal too.
     """
-    out, past = [], 0
+    out, past, source = [], 0, Source(text)
     for sign in SIGN.finditer(text):
         start, at = sign.span()
         if start < past or sign[0].startswith("==") or text[start - 1 : start] in ("=", "!", "<", ">", ":"):
@@ -133,19 +213,19 @@ def pairs(text: str) -> list[tuple[str, list[Piece], list[str]]]:
             at += 1
         if not named:
             continue
-        targets, low = [named[1]], sign.end()
-        typed = TYPED.match(text, at, at + TYPED_REACH) if sign[0] == ":" else None
-        literals, names, end = value(text, typed.end() if typed else at)
-        if typed and literals and (typed[1] or is_quoted(text, literals)):
-            low = typed.end()
-            inner = name_before(text, typed.end(1))
-            if inner and inner.start(1) >= at and (named[1] in CONTROL or not is_type(inner[1])):
-                targets.append(inner[1])
+        targets, low = [named.text], sign.end()
+        typed = source.typed(at) if sign[0] == ":" else None
+        literals, names, end = value(source, typed.end if typed else at)
+        if typed and literals and (typed.gap < typed.sign or is_quoted(text, literals)):
+            low = typed.end
+            inner = name_before(text, typed.sign)
+            if inner and inner.start >= at and (named.text in CONTROL or not is_type(inner.text)):
+                targets.append(inner.text)
         elif typed:
-            literals, names, end = value(text, at)
-        elif named[1] in TYPES:  # Go: var name string = literal
-            first = name_before(text, named.start(1))
-            targets += [first[1]] if first and first.end(1) < named.start(1) else []
+            literals, names, end = value(source, at)
+        elif named.text in TYPES:  # Go: var name string = literal
+            first = name_before(text, named.start)
+            targets += [first.text] if first and first.end < named.start else []
         past = end if is_quoted(text, literals) else low
         if literals or names:
             out += [(t, literals, [*names, t] if keeps else names) for t in targets]
@@ -164,33 +244,35 @@ def final_values(listed: list[tuple[str, list[Piece], list[str]]]) -> dict[str,
 
 
 def found_literals(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals that reach a sensitive name."""
-    known: dict[str, list[Piece]] = {}
-    best: dict[tuple[int, int], float] = {}
-    listed = pairs(text)
-    later = final_values(listed)  # configuration may name what is set further down, in any number of steps
-    reached: dict[str, list[Piece]] = {}
-
-    def ahead(name: str) -> list[Piece]:
-        if name not in reached:
-            seen, open_names, pieces = {name}, [name], []
-            while open_names:
-                literals, names = later.get(open_names.pop(), ((), ()))
-                pieces += literals
-                more = [n for n in dict.fromkeys(names) if n not in seen]
-                seen.update(more)
-                open_names += more
-            reached[name] = list(dict.fromkeys(pieces))
-        return reached[name]
+    """(start, end, score) of literals that reach a sensitive name.
 
-    for name, literals, names in listed:
-        carried = [p for n in names for p in (known[n] if n in known else ahead(n))]
-        weight = name_weight(name)
-        for start, end, value_ in [*literals, *carried]:
-            look = literal_weight(value_) if weight >= 2 else 0.0
-            if look:
-                best[start, end] = max(best.get((start, end), 0.0), weight + look)
-        known[name] = list(dict.fromkeys([*literals, *carried])) if names else literals
+    An assignment is a node that points to the assignments its names had then; a name that is only set further down,
+    as configuration may do in any number of steps, to a node of its last values. From the most sensitive name on,
+    every node is visited once, so a literal has the weight of the most sensitive name that it reaches.
+    """
+    listed = pairs(text)
+    later = final_values(listed)
+    known: dict[str, int | str] = {}  # the number of an assignment
+    weights, refers = [], []
+    for n, (name, _, names) in enumerate(listed):
+        weights.append(name_weight(name))
+        refers.append([known.get(x, x) for x in dict.fromkeys(names)])
+        known[name] = n
+    best: dict[Piece, float] = {}
+    seen: set[int | str] = set()
+    for n in sorted((n for n, w in enumerate(weights) if w >= 2), key=lambda n: -weights[n]):
+        todo: list[int | str] = [n]
+        while todo:
+            node = todo.pop()
+            if node in seen:
+                continue
+            seen.add(node)
+            literals, more = later.get(node, ((), ())) if isinstance(node, str) else (listed[node][1], refers[node])
+            todo += more
+            for piece in literals:
+                if piece not in best:
+                    look = literal_weight(text[slice(*piece)])
+                    best[piece] = weights[n] + look if look else 0.0
     return [(a, b, s) for (a, b), s in best.items() if s >= THRESHOLD]
 
 
@@ -200,9 +282,11 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20] if "AKIA" in text else []
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted((a, b) for a, _, b in out)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     if SIGN.search(text):
         for start, end, _ in found_literals(text):
-            if not any(a < end and start < b for a, b in base):
+            before = bisect_left(starts, end)
+            if not before or reach[before - 1] <= start:
                 out.append((start, 3, end))
     return sorted(out)
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -316,6 +317,44 @@ def test_types_are_lexed_in_bounded_time():
     assert secret_scan.found_literals(("a: " + "<>" * 110 + "[] " * 60 + "\n") * 200) == []
 
 
+@pytest.mark.parametrize("text", [
+    f'apiKey{" " * 5000}= "{SECRET}"', f'{"very." * 500}apiKey = "{SECRET}"', f'apiKey: Map<{"string, " * 400}string> = "{SECRET}"',
+    f'apiKey: Dict[{"str, " * 300}str] = "{SECRET}"', f'apiKey: {"a::" * 400}b = "{SECRET}"', f'apiKey: Map<List<int>, (A<B>)> = "{SECRET}"',
+])
+def test_names_and_types_of_any_length(text):
+    at = text.index(SECRET)
+    assert [(a, b) for a, b, _ in secret_scan.found_literals(text)] == [(at, at + len(SECRET))]
+
+
+def test_long_texts_take_linear_time():
+    def seconds(text):
+        start = time.perf_counter()
+        secret_scan.spans(text)
+        return time.perf_counter() - start
+
+    for line in ('a = a + "q8Wz7Lm2Xc90Vb"\n', "a:b", "k: (a) <b> ", "x: <", f'password = "{SECRET}"\n'):
+        seconds(line)
+        assert seconds(line * 40_000) < 40 * max(seconds(line * 4_000), 0.01), line
+
+
+def test_planted_secrets_are_found():
+    """Random names, values and forms among other assignments: at least 0.9 found, and no harmless literal."""
+    draw = np.random.default_rng(11)
+    letters = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789")
+    names = ["apiKey", "client_secret", "DB_PASSWORD", "authToken", "aws.secret.key", "signing-key", "userPwd", "private_key", "bearerToken", "oauth_token"]
+    forms = ['{n} = "{v}"', "{n}: '{v}'", "export {n}={v}", '"{n}": "{v}",', "{n} := `{v}`", 'let {n}: string = "{v}";', "<x {n}='{v}'/>", 'tmp9 = "{v}"\nuse({n}=tmp9)', 'f({n}="{v}")', "{n} => '{v}'"]
+    found = wrong = 0
+    for k in range(400):
+        value = "".join(draw.choice(letters, int(draw.integers(12, 40))))
+        other = "".join(draw.choice(letters, 20))
+        text = f'colour = "{other}"\n' + forms[k % 10].format(n=names[int(draw.integers(10))], v=value) + f"\nwidth: 17\nlabel = '{other}'\n"
+        got = secret_scan.spans(text)
+        at = text.index(value)
+        found += any(a <= at and b >= at + len(value) for a, _, b in got)
+        wrong += any(a < text.index(other) + 20 and text.index(other) < b for a, _, b in got)
+    assert found >= 360 and wrong == 0, (found, wrong)
+
+
 def test_type_names_carry_nothing():
     assert secret_scan.found_literals('x: string = "zzz111AAAbbb";\nfunction f(password: string) {}') == []
 
