@@ -27,6 +27,12 @@ def hash_keys(vectors: np.ndarray, tables: int, projections: int, width: float,
     return keys.view(np.int64)
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1. A power of two, which changes no digit, first keeps squares from under- or overflowing."""
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
 def with_keys(batches: Iterator[pa.RecordBatch], tables: int, projections: int, width: float, seed: int):
     for batch in batches:
         if not batch.num_rows:
@@ -36,8 +42,7 @@ def with_keys(batches: Iterator[pa.RecordBatch], tables: int, projections: int,
         keys = np.zeros((batch.num_rows, tables), np.int64)
         for size in np.unique(sizes):  # vectors of several lengths may share a table; they never meet
             rows = np.flatnonzero(sizes == size)
-            v = flat[offsets[rows][:, None] + np.arange(size)].astype(np.float64)
-            v /= np.linalg.norm(v, axis=1)[:, None]
+            v = unit(flat[offsets[rows][:, None] + np.arange(size)].astype(np.float64))
             keys[rows] = hash_keys(v, tables, projections, width, seed)
         lists = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * tables, pa.array(keys.ravel()))
         yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "keys"])
@@ -55,8 +60,7 @@ def compare(batches: Iterator[pa.RecordBatch], threshold: float, tables: int):
         for size in np.unique(sizes):  # more than one only if the buckets of two lengths have one hash
             rows = first + np.flatnonzero(sizes == size)
             keys = cols["keys"][0].reshape(-1, tables)[rows]
-            v = flat[offsets[rows][:, None] + np.arange(size)].astype(np.float64)
-            v /= np.linalg.norm(v, axis=1)[:, None]
+            v = unit(flat[offsets[rows][:, None] + np.arange(size)].astype(np.float64))
             node, copies, table = cols["node"][rows], cols["copies"][rows], int(cols["t"][first])
             same = cols["part_i"][first] == cols["part_j"][first]
             left = np.flatnonzero(cols["part"][rows] == cols["part_i"][first])
@@ -103,7 +107,7 @@ def near_duplicates(
     """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``.
 
     Vectors of one group and one length link when their cosine (double precision) reaches ``threshold``. Equal vectors are one
-    node with a count of copies. At cosine 0.98 (distance 0.2) one projection of width 1.6 agrees with probability
+    node with a count of copies, told apart by two 64-bit hashes. Finite vectors of any size link. At cosine 0.98 (distance 0.2) one projection of width 1.6 agrees with probability
     0.90, all twelve with 0.28, so a linked pair misses all 24 tables with probability 0.0004; closer pairs less.
     A random pair of a group shares a bucket with probability 0.00002. Buckets are cut into parts of at most 512
     vectors and compared part by part; a task returns counts and a spanning forest, never the pairs.
@@ -123,22 +127,25 @@ def near_duplicates(
         & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("vector", lambda x: x != 0)
     )
-    rows = rows.withColumn("node", F.when(usable, F.xxhash64("label", "vector")))
+    same = ["hash_1", "hash_2"]  # equal groups and vectors; no two different ones among 10^15 are expected to agree in both
+    rows = rows.withColumns({h: F.when(usable, F.xxhash64(F.lit(n), "label", "vector")) for n, h in enumerate(same)})
     nodes = (
-        rows.filter("node is not null")
-        .groupBy("node")
-        .agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"))
-    )
-    schema = "node long, label string, vector array<double>, copies long, keys array<long>"
-    nodes = stored(
-        nodes.mapInArrow(lambda batches: with_keys(batches, tables, projections, width, seed), schema)
-    )
+        rows.filter("hash_1 is not null")
+        .groupBy(*same)
+        .agg(
+            F.first("label").alias("label"), F.first("vector").alias("vector"),
+            F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"),
+        )
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+    schema = ", ".join(f"{c} {t}" for c, t in nodes.dtypes) + ", keys array<long>"
+    nodes = stored(nodes.mapInArrow(lambda batches: with_keys(batches, tables, projections, width, seed), schema))
     cells = nodes.select("node", "label", F.size("vector").alias("size"), F.posexplode("keys").alias("t", "key")).select(
         "node", "t", F.xxhash64("label", "size", "t", "key").alias("bucket")
     )
     crowded = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = chunk_pairs(cells.join(crowded, "bucket"), "bucket", "node", F.ceil(F.col("members") / CHUNK))
-    met = met.select("bucket", "part_i", "part_j", "part", "t", "node").join(nodes, "node")
+    met = met.select("bucket", "part_i", "part_j", "part", "t", "node").join(nodes.drop(*same, "least"), "node")
     found = stored(
         in_order(met, ["bucket", "part_i", "part_j"]).mapInArrow(
             lambda batches: compare(batches, threshold, tables), "a long, b long, n long"
@@ -146,21 +153,19 @@ def near_duplicates(
     )
     roots = components(found.filter("b is not null"))
     linked = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    ids = rows.filter("node is not null").groupBy("node").agg(
-        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")
-    )
-    named = ids.join(linked, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", *same, "least", "copies").join(linked, "node", "left").join(roots, "node", "left")
+    named = named.withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     told = named.join(least, "root").select(
-        "node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
+        *same, (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
     return (
-        rows.select("vec_id", "node")
-        .join(told, "node", "left")
+        rows.select("vec_id", *same)
+        .join(told, same, "left")
         .select(
             "vec_id",
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.when(F.col("hash_1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     )

@@ -81,6 +81,14 @@ def test_vectors_of_several_lengths(spark):
     assert sorted(tuple(r)[:3] for r in embed_dedup.near_duplicates(df).collect()) == brute_vectors(rows)
 
 
+def test_tiny_and_huge_vectors(spark):
+    rows = [(1, 0, [1e-200, 0.0]), (2, 0, [2e-200, 1e-203]), (3, 0, [1e200, 1e199]), (4, 0, [2e200, 2.0001e199]), (5, 0, [1.0, 0.0]),
+            (6, 0, [5e-324, 0.0]), (7, 0, [1.7e308, 1.7e308]), (8, 0, [1.0, 1.0]), (9, 0, [-1e-310, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").selectExpr("*", "1 as hash_1", "2 as least")
+    unit = [(i, y, (np.array(v) / np.abs(v).max()).tolist()) for i, y, v in rows]
+    assert sorted(tuple(r)[:3] for r in embed_dedup.near_duplicates(df).collect()) == brute_vectors(unit)
+
+
 def test_vectors_of_two_lengths_in_one_bucket():
     import pyarrow as pa
 
