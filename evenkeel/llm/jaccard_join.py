@@ -7,7 +7,7 @@
    tree holds OR-combined bitmaps and size ranges, and a traversal of the tree with itself drops pairs of tree
    nodes whose largest possible overlap is too small. What is left joins nodes to candidate sets.
 3. The candidates' texts are read again and compared exactly, set by set, in tasks of bounded size.
-Nothing is lost: prefixes, bounds and comparisons are exact up to equal 64-bit hashes.
+Nothing is lost: prefixes, bounds and comparisons are exact up to equal 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.llm.common import (
     arrow_map, chunk_pairs, components, Forest, groups, in_order, mix, narrow, shingle_set, stored, utf8, unused,
@@ -276,18 +276,21 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     shape = "n long, node long, lead long, sig binary, hashes array<long>"
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, words, percent))  # at most ORDER_MOST
     sets = stored(arrow_map(rows, lambda b: described(b, words, percent, sent.value), f"doc_id long, {kept}{shape}"))
-    full = sets.filter("node is not null")
-
-    # blocks: nodes that share a prefix shingle
-    prefixes = full.groupBy("node").agg(F.first("hashes").alias("hashes")).select("node", F.explode("hashes").alias("key"))
-    by_key = Window.partitionBy("key")
-    shared = prefixes.select(
-        "node",
-        F.count(F.lit(1)).over(by_key).alias("members"),
-        F.bit_xor(F.xxhash64("node")).over(by_key).alias("set_mark"),
-    ).filter("members > 1")
+    same = ["mark_1", "lead", "n"]  # of equal sets; no two different ones among 10^15 are expected to agree in all
+    full = sets.filter("node is not null").withColumnRenamed("node", "mark_1")
+    nodes = full.groupBy(*same).agg(
+        F.first("sig").alias("sig"), F.first("hashes").alias("hashes"), F.min(F.struct("rid", "mark")).alias("id")
+    )
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+
+    # blocks: nodes that share a prefix shingle; counted map-side, so a shingle of very many sets is no one task's
+    prefixes = nodes.select("node", F.explode("hashes").alias("key"))
+    counted = prefixes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("node")).alias("set_mark")
+    )
+    shared = prefixes.join(narrow(stored(counted.filter("members > 1"))), "key")
     blocks = stored(shared.select(F.xxhash64("members", "set_mark").alias("block"), "members", "node").distinct())
-    signed = full.groupBy("node").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("sig").alias("sig"))
+    signed = nodes.select("node", "n", "lead", "sig")
     keys = ("block", "part_i", "part_j")
     met = chunk_pairs(blocks, "block", "node", F.ceil(F.col("members") / BLOCK_ROWS)).join(signed, "node")
     met = met.select(*keys, "part", "node", "n", "lead", "sig")
@@ -295,23 +298,30 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     comps = components(maybe).withColumnRenamed("root", "comp")
 
     # the candidates' sets, from their texts
-    ids = full.groupBy("node").agg(F.min(F.struct("rid", "mark")).alias("id"), F.first("n").alias("n"))
-    chosen = stored(comps.join(ids, "node"))
+    chosen = stored(comps.join(nodes.select("node", *same, "id"), "node"))
     weigh = chosen.groupBy("comp").agg(
         F.ceil(F.sum("n") / SET_HASHES).cast("int").alias("chunks"), F.count(F.lit(1)).alias("size")
     )
     wanted = stored(
-        chosen.join(weigh, "comp").select("id.rid", "id.mark", F.col("node").alias("expected"), "comp", "size", "chunks")
+        chosen.join(weigh, "comp").select(
+            "id.rid", "id.mark", F.col("node").alias("own"), F.struct(*same).alias("expected"), "comp", "size", "chunks"
+        )
     )
     picked = rows.select("rid", "mark", "text").join(narrow(wanted), ["rid", "mark"])
     members = arrow_map(
-        picked.select("expected", "comp", "size", "chunks", "text"),
+        picked.select("own", "expected", "comp", "size", "chunks", "text"),
         lambda b: described(b, words, percent, None),
-        f"expected long, comp long, size long, chunks int, {shape}",
-    ).filter("node = expected")
+        f"own long, expected struct<mark_1: long, lead: long, n: long>, comp long, size long, chunks int, {shape}",
+    ).filter("expected = struct(node, lead, n)")
+    members = members.withColumn("node", F.col("own")).drop("own")
     edges = exact_edges(members, not wanted.filter("chunks > 1").isEmpty(), percent)
     roots = components(edges)
-    return sets.join(roots, "node", "left").select("doc_id", "mark", "n", "node", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", *same).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return (
+        sets.select("doc_id", "mark", F.col("node").alias("mark_1"), "lead", "n")
+        .join(named, same, "left")
+        .select("doc_id", "mark", "n", "node", "root")
+    )
 
 
 def join_components(
