@@ -2,11 +2,14 @@
 
 import hashlib
 import itertools
+import math
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evenkeel.llm import (
@@ -410,6 +413,37 @@ def test_quality(spark):
     assert quality.resample(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def plain_grams(text, buckets):
+    """Buckets of one- and two-token grams, one token after the other."""
+    wide = (1 << 64) - 1
+    ids = [xxhash.xxh64_intdigest(t.encode()) for t in re.findall(r"\w+|[^\w\s]+", text.lower())]
+    both = ids + [(a * 0x9E3779B97F4A7C15 & wide) ^ (b + 0x517CC1B727220A95 & wide) for a, b in zip(ids, ids[1:])]
+    return [(x ^ x >> 31) % buckets for x in both]
+
+
+def test_quality_equals_plain_arithmetic(spark):
+    draw = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(60)] + ["é", "don't", "--", "A", "a"]
+    texts = [(i, " ".join(draw.choice(words[: 20 + i % 45], int(draw.integers(1, 50))))) for i in range(150)] + [(150, None), (151, ""), (3, "w1 w2")]
+    marks = [(i, float(i % 3 == 0)) for i in range(0, 150, 2)] + [(None, 1.0)]
+    got = quality.resample(docs(spark, texts), spark.createDataFrame(marks, "doc_id long, quality double"), buckets=97)
+    taught = {i for i, q in marks if i is not None and q == 1 and zlib.crc32(str(i).encode()) % 3 != 1}
+    models = []
+    for rows in ([t for i, t in texts if i in taught], [t for _, t in texts]):
+        count = [1.0] * 97
+        for text in rows:
+            for b in plain_grams(text or "", 97):
+                count[b] += 1
+        models.append([math.log(c / sum(count)) for c in count])
+    want = sorted((i, sum(models[0][b] - models[1][b] for b in plain_grams(t or "", 97))) for i, t in texts)
+    told = got.toPandas()
+    assert np.allclose(sorted(zip(told.doc_id, told.log_weight)), want, atol=1e-9)
+    good = [q for i, q in marks if i is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    kept = told.sort_values("gumbel_key", ascending=False)["kept"].tolist()
+    k = round(len(texts) * sum(good) / len(good))
+    assert kept == [True] * k + [False] * (len(texts) - k)
+
+
 def test_leaks(spark):
     draw = np.random.default_rng(4)
     words = [f"v{i}" for i in range(300)]
