@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evenkeel.functions.hashing import seeded_hash
 from evenkeel.functions.text import parse_judge_score
 from evenkeel.operators.grid import ModelSpec, request_grid
-from evenkeel.operators.score import score_lexical, with_performance
+from evenkeel.operators.score import LEXICAL, score_lexical, with_performance
 
 MODELS = tuple(ModelSpec(f"m{i}", 10) for i in range(1, 6))
 HASH_SEED = 7
 VECTORS_PER_TEXT = 8
-TESTED = ("exact_match", "normalized_exact_match", "token_f1", "bleu", "rouge_l")
+TESTED = LEXICAL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -103,6 +103,35 @@ ROUGE_PART = """places AS (
   SELECT pid, CASE WHEN lcs IS NULL OR lcs = 0 THEN 0.0::DOUBLE ELSE
     2 * (lcs::DOUBLE / na) * (lcs::DOUBLE / nb) / (lcs::DOUBLE / na + lcs::DOUBLE / nb) END AS rouge_l FROM tails)"""
 
+# Characters in matching blocks: the longest run of a box splits it, level by level (a query with it says WITH RECURSIVE).
+SIMILAR_PART = """sim_golds AS (
+  SELECT ng, row_number() OVER () AS gid, length(ng) AS n FROM (SELECT DISTINCT ng FROM pairs)), sim_sides AS (
+  SELECT pid, gid, string_split(nr, '') AS x, string_split(ng, '') AS y, length(nr) AS nx, length(ng) AS ny
+  FROM pairs JOIN sim_golds USING (ng) WHERE length(nr) > 0 AND length(ng) > 0), sim_chars AS (
+  SELECT gid, n, unnest(string_split(ng, '')) AS ch, unnest(range(n)) AS j FROM sim_golds WHERE n > 0), sim_letters AS (
+  SELECT gid, ch, list(j) AS js FROM sim_chars GROUP BY gid, n, ch HAVING n < 200 OR count(*) <= n // 100 + 1), sim_placed AS (
+  SELECT pid, gid, unnest(x) AS ch, unnest(range(nx)) AS i FROM sim_sides), sim_equals AS (
+  SELECT pid, i, unnest(js) AS j FROM sim_placed JOIN sim_letters USING (gid, ch)), sim_stretches AS (
+  SELECT pid, i - j AS d, min(i) AS s, max(i) + 1 AS e FROM (
+    SELECT pid, i, j, i - row_number() OVER (PARTITION BY pid, i - j ORDER BY i) AS island FROM sim_equals)
+  GROUP BY pid, i - j, island), sim_boxes AS (
+  SELECT pid, 0::BIGINT AS al, nx::BIGINT AS ah, 0::BIGINT AS bl, ny::BIGINT AS bh, 0::BIGINT AS size, 0 AS level FROM sim_sides
+  UNION ALL
+  (WITH sim_clipped AS (
+    SELECT b.pid, b.al, b.ah, b.bl, b.bh, b.level, greatest(s, al, bl + d) AS i, d, least(e, ah, bh + d) - greatest(s, al, bl + d) AS k
+    FROM sim_boxes b JOIN sim_stretches t ON t.pid = b.pid AND least(e, ah, bh + d) > greatest(s, al, bl + d)), sim_best AS (
+    SELECT pid, al, bl, min({'k': -k, 'i': i, 'j': i - d}) AS m FROM sim_clipped GROUP BY pid, al, bl), sim_seeds AS (
+    SELECT b.pid, b.al, b.ah, b.bl, b.bh, b.level, coalesce(m.i, b.al) AS i, coalesce(m.j, b.bl) AS j, coalesce(-m.k, 0) AS k
+    FROM sim_boxes b LEFT JOIN sim_best USING (pid, al, bl) WHERE b.al < b.ah AND b.bl < b.bh), sim_grown AS (
+    SELECT s.*, coalesce(list_min(list_filter(range(least(i - al, j - bl)), lambda t: x[i - t] <> y[j - t])), least(i - al, j - bl)) AS back,
+      coalesce(list_min(list_filter(range(least(ah - i, bh - j) - k), lambda t: x[i + k + t + 1] <> y[j + k + t + 1])), least(ah - i, bh - j) - k) AS fore
+    FROM sim_seeds s JOIN sim_sides USING (pid)), sim_blocks AS (
+    SELECT pid, al, ah, bl, bh, level, i - back AS i, j - back AS j, k + back + fore AS k FROM sim_grown WHERE k + back + fore > 0)
+  SELECT pid, al, i, bl, j, k, level + 1 FROM sim_blocks UNION ALL SELECT pid, i + k, ah, j + k, bh, 0, level + 1 FROM sim_blocks)), likenesses AS MATERIALIZED (
+  SELECT p.pid, CASE WHEN length(nr) + length(ng) = 0 THEN 1.0::DOUBLE
+    ELSE 2.0::DOUBLE * coalesce(chars, 0) / (length(nr) + length(ng)) END AS string_similarity
+  FROM pairs p LEFT JOIN (SELECT pid, sum(size)::BIGINT AS chars FROM sim_boxes GROUP BY pid) USING (pid))"""
+
 PERFORMANCE = """eval_count::DOUBLE AS output_tokens, total_duration::DOUBLE / 1e6 AS latency_ms,
   CASE WHEN total_duration > 0 THEN eval_count::DOUBLE / (total_duration::DOUBLE / 1e9) END AS tokens_per_second"""
 EQUALITY = """(response_text IS NOT DISTINCT FROM gold_answer)::INTEGER::DOUBLE AS exact_match,
@@ -115,8 +144,12 @@ SCORED = f"""{NORMED}, {GRAMS}, {F1_PART}, {BLEU_PART}, {ROUGE_PART}, scored AS
   SELECT normed.*, {PERFORMANCE}, {EQUALITY}, token_f1, bleu, rouge_l
   FROM normed LEFT JOIN pairs USING (nr, ng) LEFT JOIN f1s USING (pid) LEFT JOIN bleus USING (pid)
   LEFT JOIN rouges USING (pid))"""
+SCORED_ALL = f"""{SCORED.replace(', scored AS (', ', lexical AS (')}, {SIMILAR_PART}, scored AS (
+  SELECT lexical.*, string_similarity FROM lexical LEFT JOIN pairs USING (nr, ng) LEFT JOIN likenesses USING (pid))"""
+SCORED_SIMILAR = f"""{NORMED}, {SIMILAR_PART}, scored AS (
+  SELECT normed.*, string_similarity FROM normed LEFT JOIN pairs USING (nr, ng) LEFT JOIN likenesses USING (pid))"""
 
-METRICS = ("exact_match", "normalized_exact_match", "token_f1", "bleu", "rouge_l", "judge_score")
+METRICS = ("exact_match", "normalized_exact_match", "token_f1", "string_similarity", "bleu", "rouge_l", "judge_score")
 F1_METRICS = ("exact_match", "normalized_exact_match", "token_f1", "judge_score")
 
 
@@ -342,13 +375,13 @@ def queries() -> dict[str, str]:
         "pairwise_model_similarity": f"WITH {similarity()} SELECT model_a, model_b, {r9('similarity')} FROM sim",
         "run_pairs": f"WITH {ANSWERS}, {run_pairs()} SELECT * FROM chosen",
         # aggregations
-        "metric_stats": f"WITH {SCORED} SELECT model, question_id, {stats(METRICS)} FROM scored GROUP BY ALL",
+        "metric_stats": f"WITH RECURSIVE {SCORED_ALL} SELECT model, question_id, {stats(METRICS)} FROM scored GROUP BY ALL",
         "run_stats": f"WITH {NORMED}, {RUNS} SELECT model, question_id, {RUN_COLUMNS} FROM run_stats",
         "uniqueness_rates": f"""WITH {NORMED}, {RUNS} SELECT model, question_id, {r9('response_uniqueness_rate')},
             {r9('normalized_response_uniqueness_rate')} FROM run_stats""",
         "self_agreement": f"""WITH {NORMED}, {RUNS} SELECT model, question_id, n_runs, modal_normalized_response_count,
             {r9('normalized_self_agreement_rate')} FROM run_stats""",
-        "compute_aggregates": f"""WITH {SCORED}, {RUNS}, {run_pairs()}, {text_match('chosen', 'text_i', 'text_j')}, {SEMANTIC},
+        "compute_aggregates": f"""WITH RECURSIVE {SCORED_ALL}, {RUNS}, {run_pairs()}, {text_match('chosen', 'text_i', 'text_j')}, {SEMANTIC},
             {text_match('answers', 'response_text', 'gold_answer', '_g')}, all_scored AS (
             SELECT scored.*, p AS bertscore_precision, r AS bertscore_recall, f1 AS bertscore_f1
             FROM scored LEFT JOIN matched_g ON x = response_text AND y = gold_answer)
@@ -362,7 +395,7 @@ def queries() -> dict[str, str]:
             {', '.join(r9(f'{c}_ci_{s}') for c in REPRO_COLUMNS for s in ('low', 'high'))} FROM summary""",
         "model_summary": f"""WITH {both}, {bootstrap('means', QUALITY_COLUMNS)}
             SELECT model, n_questions, {summary_columns(QUALITY_COLUMNS)} FROM summary""",
-        "quality_by_model": f"""WITH {SCORED} SELECT model, {', '.join(r9(f'{f}({m})', f'{m}_{s}')
+        "quality_by_model": f"""WITH RECURSIVE {SCORED_ALL} SELECT model, {', '.join(r9(f'{f}({m})', f'{m}_{s}')
             for s, f in (('avg', 'avg'), ('median', 'median'))
             for m in METRICS if m != 'normalized_exact_match')},
             row_number() OVER (ORDER BY avg(token_f1) DESC NULLS LAST, model)::INTEGER AS place FROM scored GROUP BY model""",
@@ -412,12 +445,12 @@ def queries() -> dict[str, str]:
         "token_f1_bar": f"""WITH {SCORED_F1} SELECT model, {r9('avg(token_f1)', 'mean')}, {r9('stddev_samp(token_f1)', 'sd')},
             {r9('avg(token_f1) - stddev_samp(token_f1)', 'low')}, {r9('avg(token_f1) + stddev_samp(token_f1)', 'high')}
             FROM scored GROUP BY model""",
-        "string_similarity_box": f"""WITH {SCORED_F1}, q AS (SELECT model, quantile_cont(token_f1, 0.25) AS q1,
-            quantile_cont(token_f1, 0.5) AS median, quantile_cont(token_f1, 0.75) AS q3 FROM scored GROUP BY model)
+        "string_similarity_box": f"""WITH RECURSIVE {SCORED_SIMILAR}, q AS (SELECT model, quantile_cont(string_similarity, 0.25) AS q1,
+            quantile_cont(string_similarity, 0.5) AS median, quantile_cont(string_similarity, 0.75) AS q3 FROM scored GROUP BY model)
             SELECT model, {r9('any_value(q1)', 'q1')}, {r9('any_value(median)', 'median')}, {r9('any_value(q3)', 'q3')},
-            {r9('min(token_f1) FILTER (token_f1 >= q1 - 1.5 * (q3 - q1))', 'whisker_low')},
-            {r9('max(token_f1) FILTER (token_f1 <= q3 + 1.5 * (q3 - q1))', 'whisker_high')},
-            count(*) FILTER (token_f1 < q1 - 1.5 * (q3 - q1) OR token_f1 > q3 + 1.5 * (q3 - q1)) AS outliers
+            {r9('min(string_similarity) FILTER (string_similarity >= q1 - 1.5 * (q3 - q1))', 'whisker_low')},
+            {r9('max(string_similarity) FILTER (string_similarity <= q3 + 1.5 * (q3 - q1))', 'whisker_high')},
+            count(*) FILTER (string_similarity < q1 - 1.5 * (q3 - q1) OR string_similarity > q3 + 1.5 * (q3 - q1)) AS outliers
             FROM scored JOIN q USING (model) GROUP BY model""",
         "ci_bars": f"""WITH {NORMED}, {RUNS}, {bootstrap('run_stats', REPRO_COLUMNS)} {' UNION ALL '.join(
             f"SELECT model, '{c}' AS metric, round({c}_mean, 9) AS mean, round(greatest({c}_mean - {c}_ci_low, 0), 9) AS whisker_low, "
@@ -426,6 +459,7 @@ def queries() -> dict[str, str]:
         "normalize": f"SELECT doc_id, {doc} AS normalized, length(text) AS chars FROM documents",
         "exact_match": f"WITH {NORMED} SELECT model, question_id, run_index, {EQUALITY} FROM normed",
         "token_f1": f"WITH {SCORED_F1} SELECT model, question_id, run_index, {r9('token_f1')} FROM scored",
+        "string_similarity": f"WITH RECURSIVE {SCORED_SIMILAR} SELECT model, question_id, run_index, {r9('string_similarity')} FROM scored",
         "bleu": f"WITH {SCORED} SELECT model, question_id, run_index, {r9('bleu')} FROM scored",
         "rouge_l": f"WITH {SCORED} SELECT model, question_id, run_index, {r9('rouge_l')} FROM scored",
         "embedding_match": """WITH v AS (SELECT vec_id, vec_id // 16 AS pair_id, (vec_id // 8) % 2 AS side, embedding::DOUBLE[] AS e

@@ -3,8 +3,10 @@ import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 
+from evenkeel.functions import blocks
 from evenkeel.operators.score import LEXICAL, score_lexical, with_performance
 
 
@@ -135,3 +137,50 @@ def test_performance(spark):
     df = spark.createDataFrame(rows, "eval_count string, total_duration string")
     got = [tuple(r)[2:] for r in with_performance(df).collect()]
     assert got == [(10.0, 2000.0, 5.0), (None, 5e-6, None), (4.0, 0.0, None), (None, 1.0, None), (4.0, None, None)]
+
+
+def plain_blocks(a, b):
+    """Characters in matching blocks by trying every pair of places."""
+    often = Counter(b)
+    common = {c for c in often if len(b) >= 200 and often[c] > len(b) // 100 + 1}
+
+    def box(a, b):
+        best, at = 0, (0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and a[i + n] not in common:
+                    n += 1
+                if n > best:
+                    best, at = n, (i, j)
+        i, j = at
+        while i and j and a[i - 1] == b[j - 1]:
+            i, j, best = i - 1, j - 1, best + 1
+        while i + best < len(a) and j + best < len(b) and a[i + best] == b[j + best]:
+            best += 1
+        return best + box(a[:i], b[:j]) + box(a[i + best :], b[j + best :]) if best else 0
+
+    return box(a, b)
+
+
+@pytest.mark.parametrize("cells, chars", [(1 << 20, 1 << 20), (40, 1 << 20), (5, 300)])
+def test_matching_blocks_against_plain_search(monkeypatch, cells, chars):
+    """Any list size: runs carried over between lists, pairs searched together or alone, golds shared."""
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    monkeypatch.setattr(blocks, "CHARS", chars)
+    rng = random.Random(cells)
+    pairs = [(None, "a"), ("a", None), ("", ""), ("", "a"), ("a", ""), ("a" * 30, "a" * 40), ("ab" * 30, "ba" * 40)]
+    for letters in ("ab", "abcdefgh ", "etaoin éß😀", "".join(map(chr, range(97, 400)))):
+        for size in (1, 9, 60, 199, 200, 230):
+            gold = "".join(rng.choice(letters) for _ in range(size))
+            cut = rng.randrange(size)
+            other = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+            pairs += [(gold[cut : cut + 60] + other + gold[: cut // 4], gold), (other, gold), (gold, gold)]
+    got = blocks.matched_chars(pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()))
+    want = [None if a is None or b is None else plain_blocks(a, b) for a, b in pairs]
+    assert got.to_pylist() == want
+
+
+def test_matching_blocks_of_an_empty_batch():
+    assert blocks.matched_chars(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+    assert blocks.matched_chars(pa.array([None], pa.string()), pa.array([None], pa.string())).to_pylist() == [None]
