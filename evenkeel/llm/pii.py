@@ -28,7 +28,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "local_phone": r"(?<![0-9A-Za-z+)(-])(?<![+0-9][ -])\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9A-Za-z-])",
+    "local_phone": r"(?<![0-9A-Za-z+)-])(?<![+0-9][ -])(?:\([0-9]{3}\)|[0-9]{3})[ -][0-9]{3}-[0-9]{4}(?![0-9A-Za-z-])",
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-", "local_phone": "-"}  # a plain search spares most texts the pattern
 # fixed values: gazetteers
@@ -95,6 +95,8 @@ def valid(kind: str, value: Column) -> Column:
         return F.length(digits(value)).between(16, 19) & luhn(value)
     if kind == "phone":
         return F.length(digits(value)).between(8, 15)
+    if kind == "ssn":  # never issued
+        return ~F.rlike(value, F.lit("^(000|666)|-00-|-0000$"))
     return mod97(value) if kind == "iban" else F.lit(True)
 
 

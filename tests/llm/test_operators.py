@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import time
 import zlib
@@ -579,3 +580,64 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, odd, SF)
         assert kept.columns == base.columns and kept.count() == 4, name
+
+
+PLANTED = {
+    "iban": ("Please pay to IBAN {} by Friday.", "Konto: {}", "Transfer it ({}) today.", "{}", "Our bank details are {}; thanks."),
+    "ssn": ("My SSN is {}.", "Social security number: {}", "She wrote {} on the form.", "{}", "Insured under {}, since May."),
+    "local_phone": ("Call {} after six.", "Phone: {}", "You can ring me ({}) any day.", "{}", "Office hours, {}; closed on Sunday."),
+}
+DECOYS = {"iban": "Part {} is out of stock.", "ssn": "Call number {} of the archive."}
+
+
+def planted_numbers(rng, each=20):
+    """Documents with one number each, and (doc_id, kind, start, end, whether it is one); the others fail their check."""
+    def number(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def iban(good):
+        land, size = rng.choice([("DE", 18), ("FR", 23), ("GB", 18), ("ES", 20), ("NL", 14), ("AT", 16), ("CH", 17)])
+        body = ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) if land in ("GB", "NL") else number(4)) + number(size - 4)
+        rest = int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+        text = f"{land}{98 - rest if good else (98 - rest) % 97 + 1:02d}{body}"
+        return text if rng.random() < 0.5 else " ".join(text[i : i + 4] for i in range(0, len(text), 4))
+
+    def ssn(good):
+        area = rng.choice([a for a in range(1, 900) if a != 666]) if good else rng.choice([0, 666])
+        return f"{area:03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}"
+
+    def local_phone(good):
+        area = str(rng.randrange(200, 1000))
+        return f"{'(' + area + ')' if rng.random() < 0.5 else area} {rng.randrange(200, 1000)}-{number(4)}"
+
+    rows, want = [], []
+    for kind, make in (("iban", iban), ("ssn", ssn), ("local_phone", local_phone)):
+        for form in (*PLANTED[kind], *([DECOYS[kind]] if kind in DECOYS else [])):
+            for _ in range(each):
+                value = make(form in PLANTED[kind])
+                doc = 1_000_000 + len(rows)
+                lead = "word " * rng.randrange(0, 30)
+                text = lead + form.format(value)
+                start = len(lead) + form.index("{}")
+                rows.append((doc, text))
+                want.append((doc, kind, start, start + len(value), form in PLANTED[kind]))
+    return rows, want
+
+
+def test_planted_numbers(spark):
+    """The added kinds among the documents of the table, in five surroundings each."""
+    rows, want = planted_numbers(random.Random(8))
+    rest = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = pii.find(rest.unionByName(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["found"]} for r in found.filter("doc_id >= 1000000").collect()}
+    for kind in PLANTED:
+        spots = [(kind, start, end) in got[doc] for doc, k, start, end, good in want if good and k == kind]
+        assert sum(spots) >= 0.95 * len(spots), (kind, sum(spots))
+    assert not any(got[doc] for doc, _, _, _, good in want if not good)
+
+
+def test_numbers_in_brackets(spark):
+    texts = ["((415) 555-0199)", "(415 555-0199)", "+(415) 555-0199", "415) 555-0199", "1 (415) 555-0199", "call (415) 555-0199."]
+    spans = [pii.candidates(F.col("text"), "local_phone")]
+    got = {r[0]: [(c["start"], c["end"]) for c in r[1]] for r in docs(spark, list(enumerate(texts))).select("doc_id", *spans).collect()}
+    assert got == {0: [(1, 15)], 1: [(1, 13)], 2: [], 3: [], 4: [], 5: [(5, 19)]}
