@@ -136,3 +136,15 @@ def test_an_unreadable_answer_is_an_error(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"model": "m", "question_id": "q2", "run_in\n')
     with pytest.raises(Exception, match="unreadable answer in .*b.jsonl"):
         read_responses(spark, str(tmp_path)).collect()
+
+
+def test_written_files_are_compressed_and_bounded_in_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "FILE_ROWS", 10, raising=False)
+    rows = spark.range(35).selectExpr("'m' AS model", "concat('q', id) AS question_id", "'a\\nb' AS response_text").coalesce(1)
+    stages.write_responses(rows, str(tmp_path), parquet=False)
+    for kind in ("jsonl", "csv"):
+        files = list((tmp_path / f"{stages.RAW}.{kind}").glob("part-*"))
+        assert len(files) == 4 and all(f.suffix == ".gz" for f in files)
+    assert stages.read_responses(spark, str(tmp_path / f"{stages.RAW}.jsonl")).select(*rows.columns).exceptAll(rows).isEmpty()
+    back = stages.read_csv(spark, str(tmp_path / f"{stages.RAW}.csv"), stages.RESPONSE_SCHEMA)
+    assert back.count() == 35 and back.exceptAll(rows).isEmpty()
