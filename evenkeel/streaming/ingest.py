@@ -17,6 +17,7 @@ from evenkeel.operators.grid import KEY
 from evenkeel.sources.stages import RESPONSE_SCHEMA, committed
 
 BUCKETS = 16  # hash buckets of the keys in a batch's directory
+RUN_BLOCK = 64  # runs of a question that are moved together, so that its repeated texts lie side by side
 SNAPSHOTS = 8  # progress tables kept for readers that still use them
 
 
@@ -39,6 +40,21 @@ def _directories(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
     return {n: f"{path}/{prefix}{n}" for n in numbers if committed(spark, f"{path}/{prefix}{n}")}
 
 
+def _one_per_key(batch: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the earliest answer of every key.
+
+    Where nothing but keys is wanted, nothing but keys is moved. Whole answers are moved once, with the runs of a
+    question together, so that its repeated texts take about one copy of the shuffle's files.
+    """
+    if set(columns) <= set(KEY):
+        return batch.select(*KEY).distinct().select(*columns)
+    near = ["question_id", "run_block"]
+    tiebreak = [F.col(c).asc_nulls_last() for c in ("timestamp_utc", "response_text")]
+    order = Window.partitionBy(*near, "model", "run_index").orderBy(*tiebreak)
+    spread = batch.withColumn("run_block", F.floor(F.col("run_index") / RUN_BLOCK)).repartition(*near)
+    return spread.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select(*columns)
+
+
 def _new_keys(batch: DataFrame, number: int, path: str, columns: list[str], buckets: int) -> DataFrame:
     """Commits the rows of ``batch`` whose key no earlier batch had, one per key, and returns them.
 
@@ -46,16 +62,15 @@ def _new_keys(batch: DataFrame, number: int, path: str, columns: list[str], buck
     of those only the keys.
     """
     spark = batch.sparkSession
-    tiebreak = [F.col(c).asc_nulls_last() for c in ("timestamp_utc", "response_text")]
-    first = batch.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy(*tiebreak))).filter("rn = 1")
-    rows = first.select(*columns, F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int").alias("key_bucket"))
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int").alias("key_bucket")
+    rows = _one_per_key(batch, columns).select(*columns, bucket)
     earlier = [p for n, p in _directories(spark, path, "batch_id=").items() if n < number]
     if earlier:
-        touched = [r[0] for r in rows.select("key_bucket").distinct().collect()]  # at most ``buckets`` numbers
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
         seen = spark.read.option("basePath", path).parquet(*earlier).filter(F.col("key_bucket").isin(touched))
         rows = rows.join(seen.select(*KEY), list(KEY), "left_anti")
     own = f"{path}/batch_id={number}"
-    rows.repartition("key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(own)
+    rows.write.mode("overwrite").partitionBy("key_bucket").parquet(own)
     return spark.read.schema(rows.schema).parquet(own).select(*columns)
 
 

@@ -68,3 +68,19 @@ def test_streams_keep_no_state(spark, tmp_path):
         query = start(spark, str(landing), str(tmp_path / start.__name__), str(tmp_path / f"{start.__name__}-ck"))
         query.awaitTermination()
         assert all(not p.stateOperators for p in query.recentProgress)
+
+
+def test_answers_are_moved_once_and_progress_moves_keys_only(spark):
+    rows = [("m0", "q1", i, f"text {i} {j}", str(j)) for i in range(130) for j in range(3)]
+    batch = landed(spark, rows)
+    whole = ingest._one_per_key(batch, batch.columns)
+    assert {(r.run_index, r.response_text) for r in whole.collect()} == {(i, f"text {i} 0") for i in range(130)}
+    keys = ingest._one_per_key(batch, list(ingest.KEY))
+    assert keys.count() == 130
+
+    def plan(df):
+        return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().optimizedPlan().toString()
+
+    physical, _ = plan(whole)
+    assert physical.count("Exchange") == 1
+    assert "Window" not in plan(keys)[0] and "Sort" not in plan(keys)[0]
