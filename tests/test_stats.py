@@ -2,7 +2,9 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from evenkeel.functions.hashing import numbered_hashes, seeded_hash
 from evenkeel.operators import stats
 
 SCHEMA = "model string, question_id string, x double, y double"
@@ -51,3 +53,26 @@ def test_bad_arguments(spark):
         stats.bootstrap_ci(table(spark), ["x"], ci=1.0)
     with pytest.raises(ValueError):
         stats.bootstrap_ci(table(spark), ["x"], n_boot=0)
+
+
+def test_parts_of_a_model_add_up(spark):
+    rows = spark.range(50).selectExpr("'m' AS model", "id % 9 / 3 AS x", "if(id < 20, id / 7, null) AS y")
+    whole, cut = (
+        {r.replicate: (r.x, r.y) for r in stats._replicates_by_draw(rows, ["x", "y"], 7, 42, part_ranks=n).collect()} for n in (1 << 22, 6)
+    )
+    assert whole.keys() == cut.keys() == set(range(7))
+    for r in whole:
+        assert cut[r] == pytest.approx(whole[r], abs=1e-12)
+
+
+def test_draws_and_ranks_are_not_joined(spark):
+    rows = spark.range(120_000).selectExpr("'m' AS model", "id / 7 AS x")
+    plan = stats._replicates_by_draw(rows, ["x"], 8, 42)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(model") == 2
+
+
+@pytest.mark.parametrize("prefix", ["42|m|0", "x" * 49, "x" * 54, "x" * 80, "42|mé|9"])
+def test_numbered_hashes_are_those_of_the_column(spark, prefix):
+    got = numbered_hashes(prefix, 95, 1010).tolist()
+    assert got == [int(hashlib.md5(f"{prefix}|{i}".encode()).hexdigest()[:8], 16) for i in range(95, 1010)]
+    assert got[:30] == [r[0] for r in spark.range(95, 125).select(seeded_hash(prefix, F.col("id"))).collect()]
