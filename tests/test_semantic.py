@@ -92,3 +92,9 @@ def test_each_distinct_text_is_encoded_once(spark):
     df = spark.createDataFrame([("a b",), ("a b",), ("c",), (None,)], "t string")
     got = {r.text: len(r.vectors) for r in vectors.encode(df, "t", hash_encoder).collect()}
     assert got == {"a b": 2, "c": 1}
+
+
+def test_groups_are_encoded_in_a_fixed_number_of_tasks(spark):
+    rows = spark.sql("SELECT 'm' AS model, 'q' AS question_id, id AS run_index, 'a b' AS response_text FROM range(3)")
+    plan = semantic.semantic_repro(rows, hash_encoder)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.index("ArrowEvalPython") :].split("Join")[0]
