@@ -111,3 +111,11 @@ def test_raw_answers_in_other_formats(spark, questions, tmp_path):
     evaluate(questions, MODELS[:1], counting(str(tmp_path / "log")), out, runs_per_prompt=2, n_boot=20, raw_jsonl=True, raw_csv=True)
     assert stages.read_responses(spark, f"{out}/{stages.RAW}.jsonl").count() == 4
     assert stages.read_csv(spark, f"{out}/{stages.RAW}.csv", stages.RESPONSE_SCHEMA).count() == 4
+
+
+def test_keys_are_joined_in_many_tasks(spark):
+    asked = grid.request_grid([grid.ModelSpec("m", 2)], spark.sql("SELECT 'q' AS id, 'a' AS question, 'b' AS gold_answer, 7 AS more"), extra=["more"])
+    assert {r.more for r in asked.collect()} == {7}
+    for joined in (grid.pending_requests(asked, asked.filter("run_index = 0")), grid.run_progress(asked, asked)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f"run_index#") and plan.count(f", {grid.TASKS * 4}), REPARTITION_BY_NUM") == 2
