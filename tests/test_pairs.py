@@ -184,3 +184,24 @@ def test_matching_blocks_against_plain_search(monkeypatch, cells, chars):
 def test_matching_blocks_of_an_empty_batch():
     assert blocks.matched_chars(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
     assert blocks.matched_chars(pa.array([None], pa.string()), pa.array([None], pa.string())).to_pylist() == [None]
+
+
+def test_a_pair_that_comes_again_is_searched_once(monkeypatch):
+    texts = ["the quick fox", "a slow dog", None, "the quick fox", "the quick fox"]
+    golds = ["quick the fox", "slow a dog", "x", "quick the fox", "fox the quick"]
+    wanted = [blocks.matched_chars(pa.array([t], pa.string()), pa.array([g]))[0].as_py() for t, g in zip(texts, golds)]
+    searched = []
+
+    class Counted(blocks._Search):
+        def __init__(self, pred, gold):
+            searched.append(len(pred))
+            super().__init__(pred, gold)
+
+    monkeypatch.setattr(blocks, "_Search", Counted)
+    assert blocks.matched_chars(pa.array(texts), pa.array(golds)).to_pylist() == wanted
+    assert searched == [3]
+
+
+def test_normal_forms_at_hand_are_taken(spark):
+    rows = spark.sql("SELECT 'a b' AS response_text, 'A, b!' AS gold_answer, 'a b c' AS normalized_gold, 4 AS normalized_gold_tokens")
+    assert score_lexical(rows, ("token_f1",)).first().token_f1 == pytest.approx(2 / 3)
