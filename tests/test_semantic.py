@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,13 @@ def test_groups_are_encoded_in_a_fixed_number_of_tasks(spark):
     rows = spark.sql("SELECT 'm' AS model, 'q' AS question_id, id AS run_index, 'a b' AS response_text FROM range(3)")
     plan = semantic.semantic_repro(rows, hash_encoder)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan[plan.index("ArrowEvalPython") :].split("Join")[0]
+
+
+def test_vectors_are_read_as_views_of_their_batch():
+    kind = pa.list_(pa.list_(pa.float32()))
+    column = pa.array([[[9.0, 9.0]], [[1.0, 2.0], [3.0, 4.0]], None, []], kind).slice(1)
+    got = list(vectors._matrices(column))
+    assert got[0].tolist() == [[1.0, 2.0], [3.0, 4.0]] and got[1] is None and got[2].shape[0] == 0
+    assert got[0].base is not None
+    with pytest.raises(ValueError):
+        list(vectors._matrices(pa.array([[[1.0], [1.0, 2.0]]], kind)))
