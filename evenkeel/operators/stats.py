@@ -70,7 +70,8 @@ def _drawn(n_boot: int, seed: int, groups: int, part_ranks: int):
                     if n != last:
                         rank, last = picks[: n - start] % n - low, n
                         rank = rank if len(dense) == n else rank[(rank >= 0) & (rank < part_ranks)]
-                    totals[i] += float(dense[rank].sum())
+                    if len(rank):
+                        totals[i] += float(np.cumsum(dense[rank])[-1])  # draw by draw, as an average in SQL adds them up
             made += [(model, replicate, metric, n, total) for (metric, n, _), total in zip(held, totals)]
         columns = zip(*made)
         kinds = pa.string(), pa.int32(), pa.string(), pa.int64(), pa.float64()
