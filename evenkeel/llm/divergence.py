@@ -293,7 +293,7 @@ def leading_terms(rows: DataFrame, top: int) -> DataFrame:
 
 
 def apart(rows: DataFrame) -> DataFrame:
-    """(lang, a, b, value): distances of two sources over the slots of a shard, by blocks of sources."""
+    """(lang, a, b, value): distances of two sources, in either order, over the slots of a shard, by blocks of sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, first, end in groups(batches, ("lang", "shard", "part_i", "part_j")):
@@ -367,8 +367,10 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, b
     filled = places.join(counted.select("lang", "source", "shard", "block"), ["lang", "source", "shard"], "left")
     filled = filled.withColumn("block", F.coalesce("block", F.lit(b"")))
     paired = chunk_pairs(filled, "shard", "source", F.ceil(F.col("sources") / SOURCE_BLOCK))
-    summed = apart(in_order(paired, ("lang", "shard", "part_i", "part_j"))).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-    summed = stored(summed)
+    # rows of a shard come in any order, so two sources may be told as (a, b) by one shard and as (b, a) by the next
+    told_apart = apart(in_order(paired, ("lang", "shard", "part_i", "part_j")))
+    both = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    summed = stored(told_apart.groupBy("lang", *both).agg(F.sum("value").alias("value")))
     pairs = summed.selectExpr("lang", "a as source", "b as item", "value").union(summed.selectExpr("lang", "b", "a", "value"))
 
     told = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").union(

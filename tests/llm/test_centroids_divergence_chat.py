@@ -154,6 +154,25 @@ def test_audit_equals_brute_force(spark, setting, monkeypatch):
     assert sorted(map(tuple, got.collect())) == plain_audit(rows, *setting)
 
 
+@pytest.fixture
+def scattered(spark):
+    """Joins shuffled and partitions kept apart, so that rows of one key come in another order for every key."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_audit_of_sources_in_another_order_in_every_shard(spark, scattered, monkeypatch):
+    monkeypatch.setattr(divergence, "SHARD_TERMS", 7)
+    rows = audited_rows()
+    got = divergence.audit(spark.createDataFrame(rows, "text string, lang string, source string").repartition(6), 3)
+    assert sorted(map(tuple, got.collect())) == plain_audit(rows, 3, 50)
+
+
 def test_audit_of_nothing(spark):
     df = spark.createDataFrame([], "text string, lang string, source string")
     assert divergence.audit(df).count() == 0
