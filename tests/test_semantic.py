@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.functions import vectors
+from evenkeel.functions import pairs, vectors
 from evenkeel.operators import semantic
 from evenkeel.operators.score import score_semantic
 from evenkeel.plans.derived import hash_encoder
@@ -109,3 +109,26 @@ def test_vectors_are_read_as_views_of_their_batch():
     assert got[0].base is not None
     with pytest.raises(ValueError):
         list(vectors._matrices(pa.array([[[1.0], [1.0, 2.0]]], kind)))
+
+
+def test_a_pair_that_comes_again_is_counted_once():
+    pred, gold = pa.array(["a b", None, "a b", "a b", "c", None, "", "a b"]), pa.array(["a", "a", "a", None, "a", None, "", "a"])
+    *some, copy = pairs._distinct(pred, gold)
+    assert len(some[0]) == len({*zip(pred.to_pylist(), gold.to_pylist())}) == 6
+    assert [x.take(pa.array(copy)).to_pylist() for x in some] == [pred.to_pylist(), gold.to_pylist()]
+
+
+def test_texts_scaled_together_are_as_each_alone():
+    draw = np.random.default_rng(3)
+    wide = [draw.standard_normal((n, 5)) for n in (3, 0, 1, 7)] + [np.zeros((2, 5))]
+    for encoded in (wide, [*wide, draw.standard_normal((2, 4))], [x.tolist() for x in wide], wide[:1], []):
+        assert [x.tolist() for x in vectors._units(encoded)] == [vectors._unit(x).tolist() for x in encoded]
+
+
+def test_rows_that_stand_together_are_not_sorted(spark):
+    rows = [(f"q{i // 6}", None if i % 7 == 0 else f"a{i % 3} b", f"a{i // 6} b") for i in range(30)]
+    df = spark.createDataFrame(rows, "question_id string, response_text string, gold_answer string").coalesce(1)
+    plain, together = (score_semantic(df, hash_encoder, together=x) for x in (False, True))
+    assert sorted(map(tuple, together.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    has_sort = ["Sort " in x._jdf.queryExecution().executedPlan().toString() for x in (plain, together)]
+    assert has_sort == [True, False]
