@@ -148,3 +148,22 @@ def test_written_files_are_compressed_and_bounded_in_rows(spark, tmp_path, monke
     assert stages.read_responses(spark, str(tmp_path / f"{stages.RAW}.jsonl")).select(*rows.columns).exceptAll(rows).isEmpty()
     back = stages.read_csv(spark, str(tmp_path / f"{stages.RAW}.csv"), stages.RESPONSE_SCHEMA)
     assert back.count() == 35 and back.exceptAll(rows).isEmpty()
+
+
+def test_answers_read_back_lie_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    from evenkeel.plans import catalog, derived
+
+    words = " ".join(f"word{i}" for i in range(60))
+    turns = [(c, t, role, f"{c} {words}") for c in range(4) for t, role in ((1, "user"), (2, "assistant"))]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    monkeypatch.setattr(stages, "FILE_ROWS", 40)
+    monkeypatch.setattr(stages, "scratch_dir", lambda _: str(tmp_path / "kept"))
+    got = catalog.read_responses(spark, str(tmp_path))
+    files = list((tmp_path / "kept").glob("part-*"))
+    answers = derived.answers(spark, str(tmp_path))
+    assert all(f.name.endswith(".json.gz") for f in files) and len(files) >= 5
+    assert sum(f.stat().st_size for f in files) < answers.select(F.sum(F.length("question"))).first()[0] / 4
+    expected = answers.select(*got.columns)
+    assert got.count() == 200 and got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
